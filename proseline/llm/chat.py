@@ -247,7 +247,8 @@ def parse(source: str) -> Node:
                 stack.append(("generation", None, []))
             elif word == "endgeneration":
                 e.end()
-                stack[-1][2].append(Node("generation", None, (close("generation")[1],)))
+                _, body = close("generation")
+                stack[-1][2].append(Node("generation", None, (body,)))
             else:
                 raise TemplateError(f"no statement {word}")
     if at < len(source):

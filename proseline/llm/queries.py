@@ -35,7 +35,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed at weights 3, 1, 2 and 150 % of their words, at most twice each source."""
     found = mixing.mix(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ shard_quotient AS (
     SELECT unnest(range(CAST(ceil(s.shard_size * 2.0 / 16) AS BIGINT) + 3)) AS k)
   WHERE s.shard_size > 0),
 quota AS (
-  SELECT s.i, s.shard, s.n_blocks, least(coalesce(q.n, 0), 2 * ceil(s.shard_size / 16.0)) AS quota,
+  SELECT s.i, s.shard, s.n_blocks, CAST(least(coalesce(q.n, 0), 2 * ceil(s.shard_size / 16.0)) AS BIGINT) AS quota,
          CAST('0x' || substr(md5(concat_ws(':', 'mix', s.source, CAST(s.shard AS VARCHAR))), 1, 7) AS BIGINT)
            % s.n_blocks AS turn
   FROM shards s LEFT JOIN (
