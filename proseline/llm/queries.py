@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseline.llm import chat, langid, media, mixing, packing, quality, simhash
+from proseline.llm import chat, langid, licenses, media, mixing, packing, pages, quality, simhash, suffix
 from proseline.llm.common import table
 
 
@@ -43,6 +43,21 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of 50 words or more that other documents have too, and where these stand."""
+    return suffix.repeated(table(spark, sf_dir, "documents"))
+
+
+def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence texts and notices in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the control one, formatted by the compiled template and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -61,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
+    "op6_suffix": op6_suffix,
+    "op7_pages": op7_pages,
+    "op8_licenses": op8_licenses,
     "op9_chat": op9_chat,
     "op10_langid": op10_langid,
 }
@@ -129,4 +147,4 @@ SELECT doc_id, any_value(size) AS size, CAST(any_value(source_size) AS BIGINT) A
 FROM parts GROUP BY doc_id, e
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op8_licenses": licenses.oracle()}

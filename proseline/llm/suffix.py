@@ -11,13 +11,16 @@ the same with the words before it, in reverse) to the left.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from proseline.llm.common import body
+from proseline.llm.common import body, cut
 
 LEAST, SPAN, GRAM = 50, 16, 8
 #: Words whose hashes a worker remembers.
@@ -113,3 +116,154 @@ def suffixes(docs: DataFrame, least: int = LEAST, span: int = SPAN) -> DataFrame
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.where("doc_id is not null").select("doc_id", body().alias("body")).mapInArrow(run, f"key bigint, doc_id {kind}, pos int")
+
+
+def contexts(docs: DataFrame, wanted: DataFrame, size: int, reach: int) -> DataFrame:
+    """wanted (doc_id, pos, key, side, edge, run) with around: hashes of up to `reach` words beside the suffix's key.
+
+    Side 0 has those after the key, side 1 those before it, the nearest first.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marks = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key", "side", "edge", "run")).alias("marks"))
+
+    def run(batches):
+        known = Hashes()
+        for batch in batches:
+            rows, out = [], []
+            for i, (text, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                words = (hashed(text, known) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                for m in own:
+                    end = m["pos"] + size
+                    around = words[end : end + reach] if m["side"] == 0 else words[max(0, m["pos"] - reach) : m["pos"]][::-1]
+                    if len(around):
+                        rows.append(i)
+                        out.append((m["key"], m["side"], m["edge"], m["run"], around.tolist()))
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows)), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True))],
+                    names=["doc_id", "key", "side", "edge", "run", "around"],
+                )
+
+    texts = docs.where("doc_id is not null").select("doc_id", body().alias("body"))
+    return texts.join(marks, "doc_id").mapInArrow(
+        run, f"doc_id {kind}, key bigint, side int, edge boolean, run bigint, around array<int>"
+    )
+
+
+def common(a: Column, b: Column) -> Column:
+    """How many elements two different arrays begin with in common."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.array_position(same, F.lit(False)) - 1
+
+
+def extensions(around: DataFrame) -> DataFrame:
+    """(doc_id, run, before, after): how far the match goes on beyond each run's first and last suffix.
+
+    Equal contexts become one row first. Contexts that begin alike stand together, so each set of a key, a side and a
+    first word is sorted by itself, and only neighbours are compared.
+    """
+    classes = around.groupBy("key", "side", "around").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    order = Window.partitionBy("key", "side", F.col("around")[0]).orderBy("around")
+
+    def beside(step) -> Column:
+        near, other = step("around").over(order), (step("lo").over(order) != F.col("lo")) | (step("hi").over(order) != F.col("lo"))
+        return F.when(near.isNotNull() & other, common(F.col("around"), near)).otherwise(0)
+
+    longest = classes.select(
+        "key", "side", "around",
+        F.when(F.col("lo") < F.col("hi"), F.size("around")).otherwise(F.greatest(beside(F.lag), beside(F.lead))).alias("more"),
+    )
+    found = around.where("edge").join(longest, ["key", "side", "around"])
+    return found.groupBy("doc_id", "run").agg(
+        F.coalesce(F.max(F.when(F.col("side") == 1, F.col("more"))), F.lit(0)).alias("before"),
+        F.coalesce(F.max(F.when(F.col("side") == 0, F.col("more"))), F.lit(0)).alias("after"),
+    )
+
+
+def repeated(docs: DataFrame, least: int = LEAST, span: int = SPAN, later_only: bool = False) -> DataFrame:
+    """doc_id, repeated_words and spans (array of start, end in words, ascending, apart) of documents with passages of
+    `least` words or more that another document has too, in any case of ASCII letters.
+
+    With later_only, of a passage's documents the one with the smallest doc_id has no span for it. Repeats within one
+    document don't count. Rows of one doc_id are one document's parts, rows without doc_id and null or short texts have
+    no spans; no rows give none; other columns are ignored.
+    """
+    size, reach = least - span + 1, span - 1
+    found = suffixes(docs, least, span)
+    shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    marks = found.join(shared.select("key", "lo"), "key")
+    counted = (F.col("doc_id") > F.col("lo")) if later_only else F.lit(True)
+    marks = marks.select("key", "doc_id", "pos", counted.alias("counted")).distinct()
+    line = Window.partitionBy("doc_id", "counted").orderBy("pos")
+    before, after = F.lag("pos").over(line), F.lead("pos").over(line)
+    marks = marks.withColumns(
+        {
+            "first": F.col("counted") & (before.isNull() | (before + size < F.col("pos"))),
+            "last": F.col("counted") & (after.isNull() | (F.col("pos") + size < after)),
+        }
+    )
+    marks = cut(marks.withColumn("run", F.sum(F.col("first").cast("bigint")).over(line)))
+    asked = marks.where("first").select("key", F.lit(1).alias("side")).unionByName(
+        marks.where("last").select("key", F.lit(0).alias("side"))
+    ).distinct()
+    edge = F.when(F.col("side") == 1, F.col("first")).otherwise(F.col("last"))
+    wanted = marks.join(asked, "key").select("doc_id", "pos", "key", "side", edge.alias("edge"), "run")
+    more = extensions(cut(contexts(docs, wanted, size, reach)))
+    runs = marks.where("counted").groupBy("doc_id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + size).alias("end"))
+    whole = runs.join(more, ["doc_id", "run"], "left").select(
+        "doc_id",
+        (F.col("start") - F.coalesce("before", F.lit(0))).cast("int").alias("start"),
+        (F.col("end") + F.coalesce("after", F.lit(0))).cast("int").alias("end"),
+    )
+    # spans whose extensions meet become one
+    own = Window.partitionBy("doc_id").orderBy("start", "end")
+    apart = F.coalesce(F.col("start") > F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    whole = whole.where(F.col("end") - F.col("start") >= least).withColumn("apart", apart)
+    joined = (
+        whole.withColumn("part", F.sum(F.col("apart").cast("int")).over(own))
+        .groupBy("doc_id", "part")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    )
+    return joined.groupBy("doc_id").agg(
+        F.sum(F.col("end") - F.col("start")).cast("bigint").alias("repeated_words"),
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"),
+    )
+
+
+def without(text: bytes, spans: list[dict]) -> bytes:
+    """The text without the words of spans; white space before a span goes with it."""
+    places = [m.span() for m in re.finditer(rb"[^ \t-\r]+", text)]
+    out, at = [], 0
+    for s in spans:
+        start, end = min(s["start"], len(places)), min(s["end"], len(places))
+        if start < end:
+            out.append(text[at : places[start - 1][1] if start else 0])
+            at = places[end - 1][1]
+    return b"".join([*out, text[at:]])
+
+
+def remove_repeated(docs: DataFrame, least: int = LEAST, span: int = SPAN) -> DataFrame:
+    """docs without passages that a document of smaller doc_id has too; what has no word left goes.
+
+    Rows that lose nothing stay as they are, empty ones too; a row that loses something has n_chars (where docs has the
+    column) counted again.
+    """
+    found = repeated(docs, least, span, later_only=True).select(F.col("doc_id").alias("_id"), "spans")
+    names = [f"`{c}`" for c in docs.columns]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema.fields), T.StructField("_gone", T.BooleanType())])
+
+    def run(batches):
+        for batch in batches:
+            texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+            cut_ = [x if not s else without(x.encode(), s).decode().lstrip() for x, s in zip(texts, spans, strict=True)]
+            gone = [bool(s) and not x.strip() for x, s in zip(cut_, spans, strict=True)]
+            columns = {n: batch.column(n) for n in batch.schema.names if n != "spans"}
+            columns["text"] = pa.array(cut_, pa.string())
+            if "n_chars" in columns:
+                sizes = [len(x) if s else n for x, s, n in zip(cut_, spans, columns["n_chars"].to_pylist(), strict=True)]
+                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(gone)], names=[*columns, "_gone"])
+
+    joined = docs.join(found, docs["doc_id"] == found["_id"], "left").select(*[docs[n] for n in names], "spans")
+    return joined.mapInArrow(run, schema).where("not _gone").select(*names)
