@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,18 +21,25 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the session's spark.checkpoint.dir. Only where none is set, as in tests, is a temporary one made.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="proseline-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def store(df: DataFrame) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def body(name: str = "text") -> Column:
     """The UTF-8 bytes of a text column; a null text is empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
-
-
-def parallel(df: DataFrame, sf: SparkSession) -> DataFrame:
-    """df over at least as many partitions as the cluster has cores."""
-    cores = sf.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

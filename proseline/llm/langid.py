@@ -212,3 +212,9 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     langs, table = train(docs.where(~held_out()).select("text", "lang"))
     return predict(docs, langs, table, keep)
+
+
+def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """Rows of docs with a language that makes up `least` of them or more; those of none, or of many in parts, go."""
+    found = identify(docs, docs.columns)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[f"`{c}`" for c in docs.columns])

@@ -10,10 +10,14 @@ can be counted over a document's blocks without listing them.
 from __future__ import annotations
 
 import heapq
+import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proseline.llm.common import WORD, cut
 
@@ -77,7 +81,7 @@ def quotas(shards: DataFrame, block: int, share: float, limit: float, weights: t
     One task sees all shards' counts: a row for some 20,000 documents.
     """
 
-    def run(_, found: pd.DataFrame) -> pd.DataFrame:
+    def run(found: pd.DataFrame) -> pd.DataFrame:
         named = found["source"].notna()
         order = {s: i for i, s in enumerate(sorted(set(found.loc[named, "source"]), key=lambda s: s.encode()))}
         found["_i"] = [order[s] if ok else len(order) for s, ok in zip(found["source"], named, strict=True)]
@@ -155,3 +159,56 @@ def taken_before(at: str, block: int) -> str:
     whole = f"({at}) div {block}"
     one_more = f"(({chosen(f'{whole} + 1')}) - ({chosen(whole)}))"
     return f"({chosen(whole)}) * {block} + {one_more} * (({at}) % {block})"
+
+
+def rounds_of(row: dict, block: int) -> np.ndarray:
+    """How often each word of a document is taken, given its place in its shard."""
+    at = np.arange(row["begin"], row["end"], dtype=np.int64) // block
+    n, rest, turn = row["blocks"], row["rest"], row["turn"]
+    return row["rounds"] + ((at + 1) * rest + turn) // n - (at * rest + turn) // n
+
+
+def taken_text(text: str, keep: np.ndarray) -> str:
+    """The words to keep: the text itself if that is all, else its runs of kept words, a space between them."""
+    if keep.all():
+        return text
+    data = text.encode()
+    places = [m.span() for m in re.finditer(rb"[^ \t-\r]+", data)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], keep.astype(np.int8), [0]])))
+    return b" ".join(data[places[a][0] : places[b - 1][1]] for a, b in edge.reshape(-1, 2)).decode()
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
+    """docs as the mix takes them: a row for each round of a document, with the words of that round.
+
+    A document of which nothing is taken goes, as do those without words; columns are those of docs, n_chars (where
+    there) counted again. Rows of one doc_id and size are told apart by number.
+    """
+    same = Window.partitionBy("doc_id", "_size")
+    places = mix(docs, block, **how).select(
+        F.col("doc_id").alias("_id"), F.col("size").alias("_of"), "begin", "end", "rest", "rounds", "turn", "blocks", "taken"
+    )
+    places = places.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_of").orderBy("begin"))).where("taken > 0")
+    names = list(docs.columns)
+    rows = docs.withColumn("_size", words(F.col("text")))
+    rows = rows.withColumn("_nth", F.row_number().over(same.orderBy(F.xxhash64("text"))))
+    where = rows["doc_id"].eqNullSafe(places["_id"]) & (rows["_size"] == places["_of"]) & (rows["_nth"] == places["_n"])
+    joined = rows.join(places, where).select(*[rows[f"`{n}`"] for n in names], "begin", "end", "rest", "rounds", "turn", "blocks")
+
+    def run(batches):
+        for batch in batches:
+            take, texts = [], []
+            own = batch.select(["begin", "end", "rest", "rounds", "turn", "blocks"]).to_pylist()
+            for i, (text, row) in enumerate(zip(batch.column("text").to_pylist(), own, strict=True)):
+                times = rounds_of(row, block)
+                for k in range(1, int(times.max()) + 1):
+                    take.append(i)
+                    texts.append(taken_text(text, times >= k))
+            kept = batch.select(names).take(pa.array(take, pa.int64()))
+            columns = dict(zip(names, kept.columns, strict=True))
+            columns["text"] = pa.array(texts, pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array(map(len, texts), columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    return joined.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))

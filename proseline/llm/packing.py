@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
+from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +28,14 @@ END_ID = 2
 #: Pieces in a bucket of one length, about.
 BUCKET = 20_000
 #: Words that a worker remembers, and characters of the longest of them.
-REMEMBERED, LONGEST = 1 << 19, 64
+REMEMBERED, LONGEST = 700_000, 64
+#: New words that are encoded as one text.
+TOGETHER = 512
+#: Marks that may end a word; an apostrophe is none, as what follows it may belong to it.
+MARKS = ".,;:!?#$%&*|"
+#: How byte-level vocabularies write a byte: visible Latin-1 characters as themselves, the rest from U+0100 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = dict(zip((b for b in range(256) if b not in _VISIBLE), range(256, 512)))
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -40,30 +50,71 @@ class Encoder:
 
     The pre-tokeniser of such files always starts a token at a space that something other than white space follows, so
     a text is the sequence of its chunks from one such space to the next, and each chunk has its ids by itself. Ids of
-    short chunks are remembered; all come from the tokenizers library.
+    short chunks are remembered; all come from the tokenizers library, many new chunks at once. A token's characters in
+    the vocabulary are its bytes, so the ids of a chunk are those that make up its length.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        words = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(words.values()) + 1, np.int64)
+        self.size[list(words.values())] = list(map(len, words))
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.inner = re.compile(r" (?!\S)")
         self.starts = re.compile(r" (?=\S)")
 
     def ids(self, text: str) -> bytes:
-        import numpy as np
-
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
-        import numpy as np
+    def together(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a space."""
+        parts, out = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)], []
+        found = self.tokenizer.encode_batch_fast([f" {' '.join(x)}" for x in parts], add_special_tokens=False)
+        for own, encoded in zip(parts, found, strict=True):
+            ids = np.array(encoded.ids, "<u4")
+            ends = np.cumsum(self.size[ids])
+            stops = np.cumsum([len(x.encode()) + 1 for x in own])
+            at = np.searchsorted(ends, stops)
+            if not np.array_equal(ends[at], stops):
+                raise ValueError("the vocabulary isn't one of byte-level tokens")
+            data, start = ids.tobytes(), 0
+            for stop in (4 * (at + 1)).tolist():
+                out.append(data[start:stop])
+                start = stop
+        return out
+
+    def letters(self, word: str) -> bytes:
+        """Ids of letters after a space, which the pre-tokeniser keeps together: the model's own tokens."""
+        text = f" {word}".encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
+    def learn(self, chunks: set[str]) -> None:
         if len(self.known) + len(chunks) > REMEMBERED:
             self.known.clear()
-        fresh = [x for x in chunks if x not in self.known and len(x) <= LONGEST]
-        found = self.tokenizer.encode_batch_fast([f" {x}" for x in fresh], add_special_tokens=False)
-        self.known.update((x, np.array(y.ids, "<u4").tobytes()) for x, y in zip(fresh, found, strict=True))
+        if len(self.stems) + len(chunks) > REMEMBERED:
+            self.stems.clear()
+        parts, whole, stems = [], [], set()
+        for x in chunks:
+            if x not in self.known and len(x) <= LONGEST:
+                # letters, then marks: the pre-tokeniser parts these
+                stem = x.rstrip(MARKS)
+                if stem.isalpha():
+                    parts.append((x, stem, x[len(stem) :]))
+                    if stem not in self.stems:
+                        stems.add(stem)
+                else:
+                    whole.append(x)
+        self.stems.update((x, self.letters(x)) for x in stems)
+        self.known.update(zip(whole, self.together(whole), strict=True))
+        for x, stem, mark in parts:
+            if (after := self.marks.get(mark)) is None:
+                after = self.marks[mark] = self.ids(mark)
+            self.known[x] = self.stems[stem] + after
 
     def many(self, texts: list[str]) -> list[bytes]:
         split = [self.starts.split(x) if self.inner.search(x) else x.split(" ") for x in texts]
@@ -75,6 +126,12 @@ class Encoder:
         ]
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """The encoder of this process, which keeps what it remembers from one task to the next."""
+    return Encoder(path)
+
+
 def cut_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
     """Lengths of the pieces of n tokens: one if they fit, else the first may be shorter and the rest are full."""
     first = n % capacity
@@ -88,7 +145,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(vocabulary or default_vocabulary())
+        encoder = shared_encoder(vocabulary or default_vocabulary())
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
