@@ -35,7 +35,8 @@ TOGETHER = 512
 MARKS = ".,;:!?#$%&*|"
 #: How byte-level vocabularies write a byte: visible Latin-1 characters as themselves, the rest from U+0100 on.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTE_LETTERS = dict(zip((b for b in range(256) if b not in _VISIBLE), range(256, 512)))
+BYTE_LETTERS = dict(zip((b for b in range(256) if b not in _VISIBLE), range(256, 512), strict=False))
+SPACE = chr(BYTE_LETTERS[32])
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -90,8 +91,8 @@ class Encoder:
 
     def letters(self, word: str) -> bytes:
         """Ids of letters after a space, which the pre-tokeniser keeps together: the model's own tokens."""
-        text = f" {word}".encode().decode("latin-1").translate(BYTE_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(SPACE + text)]).tobytes()
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.known) + len(chunks) > REMEMBERED:
