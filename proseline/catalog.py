@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from proseline.plans import ballots, scores, texts
 
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**texts.QUERIES, **scores.QUERIES, **ballots.QUERIES}
+ORACLE_SQL: dict[str, str] = {**texts.ORACLES, **scores.ORACLES, **ballots.ORACLES}

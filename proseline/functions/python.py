@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 THRESHOLD, LEAST = 0.72, 20
 _TOKEN = re.compile(r"\b[\w']+\b")
@@ -34,12 +35,12 @@ def lexical_diversity(text: str | None, threshold: float = THRESHOLD) -> float |
     return (_factors(words, threshold) + _factors(words[::-1], threshold)) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mtld(text: pd.Series) -> pd.Series:
     return text.map(lexical_diversity)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Character references decoded."""
     return text.map(html.unescape, na_action="ignore")

@@ -139,10 +139,13 @@ def normalised_hash(text: Column) -> Column:
 
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct runs of k lower-case tokens; all tokens if there are fewer."""
-    words = F.transform(tokens(text), F.lower)
-    whole = F.array(F.array_join(words, " "))
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(F.size(words) < k, whole).otherwise(F.array_distinct(runs))
+
+    def of(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
+        return F.when(F.size(words) < k, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(runs))
+
+    # as a lambda's variable the tokens are found once, not once for each run
+    return F.transform(F.array(F.split(F.lower(F.array_join(tokens(text), " ")), " ")), of)[0]
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -153,7 +156,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def scale(value: Column, human: Column, ceiling: float = 3.0) -> Column:
     """0 at the human rate or below, 100 at ceiling times it; null without a human rate above 0."""
     ratio = value / F.when(human > 0, human)
-    return F.when(ratio <= 1, 0.0).otherwise(F.least(F.lit(100.0), 100 * (ratio - 1) / (ceiling - 1)))
+    return F.when(ratio <= 1, 0.0).when(ratio > 1, F.least(F.lit(100.0), 100 * (ratio - 1) / (ceiling - 1)))
 
 
 def domain_of(scenario: Column) -> Column:
