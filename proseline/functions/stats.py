@@ -54,5 +54,6 @@ def summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 def pearson(x: Column, y: Column) -> Column:
     """Correlation over rows that have both; null for fewer than three of them or without variance."""
     both = x.isNotNull() & y.isNotNull()
-    found = F.corr(F.when(both, x), F.when(both, y))
-    return F.when((F.sum(both.cast("int")) >= 3) & ~F.isnan(found), found)
+    a, b = F.when(both, x), F.when(both, y)
+    found = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when(F.sum(both.cast("int")) >= 3, found)

@@ -166,7 +166,7 @@ def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='proseline-')}/{uuid.uuid4().hex}"
     V.votes(spark, sf).select("seq", "t", "iph", "fp").write.parquet(f"{folder}/in")
     source = spark.readStream.schema("seq bigint, t bigint, iph string, fp string").parquet(f"{folder}/in")
-    found = stream.rate_limited(source, per_pair=20, per_address=100)
+    found = stream.rate_limited(source, per_pair=20, per_address=100, idle_ms=None)
     run = found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("seq", "iph", "fp", "reason")

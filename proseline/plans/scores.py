@@ -290,12 +290,12 @@ _SALT = "md5(concat_ws(':', '20260714', {}))"
 
 @query(
     f"""WITH o AS ({V.OUTPUTS_SQL}), m AS (SELECT DISTINCT scenario, model FROM o), r AS (SELECT *, unnest(range(3)) AS round FROM m),
-p AS (SELECT *, row_number() OVER (PARTITION BY scenario, round ORDER BY {_SALT.format("scenario, CAST(round AS VARCHAR), model")}, model) - 1 AS at FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY scenario, round ORDER BY {_SALT.format("scenario, CAST(round AS VARCHAR), model")}, model) - 1 AS spot FROM r),
 c AS (SELECT p.*, doc_id, row_number() OVER (PARTITION BY p.scenario, round, p.model ORDER BY {_SALT.format("CAST(round AS VARCHAR), CAST(doc_id AS VARCHAR)")}, doc_id) AS pick
   FROM p JOIN o ON p.scenario = o.scenario AND p.model = o.model)
-SELECT scenario, CAST(round AS INT) AS round, max(CASE WHEN at % 2 = 0 THEN model END) AS model_a, max(CASE WHEN at % 2 = 1 THEN model END) AS model_b,
-max(CASE WHEN at % 2 = 0 THEN doc_id END) AS doc_a, max(CASE WHEN at % 2 = 1 THEN doc_id END) AS doc_b FROM c WHERE pick = 1
-GROUP BY scenario, round, at // 2 HAVING model_b IS NOT NULL"""
+SELECT scenario, CAST(round AS INT) AS round, max(CASE WHEN spot % 2 = 0 THEN model END) AS model_a, max(CASE WHEN spot % 2 = 1 THEN model END) AS model_b,
+max(CASE WHEN spot % 2 = 0 THEN doc_id END) AS doc_a, max(CASE WHEN spot % 2 = 1 THEN doc_id END) AS doc_b FROM c WHERE pick = 1
+GROUP BY scenario, round, spot // 2 HAVING model_b IS NOT NULL"""
 )
 def pair_matching(spark: SparkSession, sf: str) -> DataFrame:
     return resample.pairings(V.outputs(spark, sf).select("scenario", "model", "doc_id"))

@@ -26,11 +26,18 @@ def _restore(state: GroupState, limiter: Limiter) -> None:
             limiter.seen[(int(day), fp) if "|" in key else (int(day),)] = n
 
 
-def rate_limited(votes: DataFrame, gap: float = GAP_MS, per_pair: int = DAILY_PAIR, per_address: int = DAILY_ADDRESS) -> DataFrame:
+def rate_limited(
+    votes: DataFrame,
+    gap: float = GAP_MS,
+    per_pair: int = DAILY_PAIR,
+    per_address: int = DAILY_ADDRESS,
+    idle_ms: int | None = 24 * 3600 * 1000,
+) -> DataFrame:
     """Each vote of a stream (seq, t, iph, fp) with its reason, as the batch fold gives it, in order within micro-batches.
 
     State is an address's last votes and today's counts; what is older than the gap or the day is dropped with each
-    batch, so it doesn't grow with the stream, and an idle address's state ends by timeout.
+    batch, so it doesn't grow with the stream, and an idle address's state ends after idle_ms. Spark looks for timeouts
+    in every batch, so a stream that is to end by itself (availableNow) needs idle_ms None.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -47,12 +54,12 @@ def rate_limited(votes: DataFrame, gap: float = GAP_MS, per_pair: int = DAILY_PA
         counts = {k: n for k, n in limiter.seen.items() if k[0] == today}
         names = ["|".join(map(str, k)) for k in counts]
         state.update((limiter.last, list(recent), [float(x) for x in recent.values()], names, [int(n) for n in counts.values()]))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield own[["seq", "t", "iph", "fp", "reason"]]
 
-    return votes.select("seq", "t", "iph", "fp").groupBy("iph").applyInPandasWithState(
-        run, SCHEMA, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return votes.select("seq", "t", "iph", "fp").groupBy("iph").applyInPandasWithState(run, SCHEMA, STATE, "append", timeout)
 
 
 class LimitProcessor(StatefulProcessor):
