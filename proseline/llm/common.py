@@ -43,3 +43,14 @@ def store(df: DataFrame) -> DataFrame:
 def body(name: str = "text") -> Column:
     """The UTF-8 bytes of a text column; a null text is empty."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
+
+
+#: Columns of documents that operators know by name.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def guarded(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with all but the known columns renamed by place, so that none clashes with an operator's own, and the names
+    to give back by toDF at the end.
+    """
+    return docs.toDF(*[n if n in KNOWN else f"extra_{i}" for i, n in enumerate(docs.columns)]), docs.columns

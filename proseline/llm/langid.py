@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proseline.llm.common import body, cut
+from proseline.llm.common import body, guarded
 
 BINS = 1 << 16
 ROUNDS = 12
@@ -216,5 +216,6 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of docs with a language that makes up `least` of them or more; those of none, or of many in parts, go."""
+    docs, names = guarded(docs)
     found = identify(docs, docs.columns)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[f"`{c}`" for c in docs.columns])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns).toDF(*names)

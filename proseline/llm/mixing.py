@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proseline.llm.common import WORD, cut
+from proseline.llm.common import WORD, cut, guarded
 
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT = 1.5, 2
@@ -184,6 +184,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
     A document of which nothing is taken goes, as do those without words; columns are those of docs, n_chars (where
     there) counted again. Rows of one doc_id and size are told apart by number.
     """
+    docs, given = guarded(docs)
     same = Window.partitionBy("doc_id", "_size")
     places = mix(docs, block, **how).select(
         F.col("doc_id").alias("_id"), F.col("size").alias("_of"), "begin", "end", "rest", "rounds", "turn", "blocks", "taken"
@@ -193,7 +194,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
     rows = docs.withColumn("_size", words(F.col("text")))
     rows = rows.withColumn("_nth", F.row_number().over(same.orderBy(F.xxhash64("text"))))
     where = rows["doc_id"].eqNullSafe(places["_id"]) & (rows["_size"] == places["_of"]) & (rows["_nth"] == places["_n"])
-    joined = rows.join(places, where).select(*[rows[f"`{n}`"] for n in names], "begin", "end", "rest", "rounds", "turn", "blocks")
+    joined = rows.join(places, where).select(*[rows[n] for n in names], "begin", "end", "rest", "rounds", "turn", "blocks")
 
     def run(batches):
         for batch in batches:
@@ -211,4 +212,4 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
                 columns["n_chars"] = pa.array(map(len, texts), columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return joined.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))
+    return joined.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])).toDF(*given)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proseline.llm.common import body, cut
+from proseline.llm.common import body, cut, guarded
 from proseline.llm.graph import components
 
 SEED = 42
@@ -110,10 +110,11 @@ def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     Rows without doc_id stay. Columns are those of docs.
     """
+    docs, names = guarded(docs)
     found = near_duplicates(docs.select("doc_id", "text"), shingle)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     kept = docs.join(first, docs["doc_id"] == F.col("_first"), "left_semi")
     rest = [c for c in docs.columns if c != "doc_id"]
     kept = kept.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row"))
     kept = kept.select("doc_id", *[F.col("_row").getField(c).alias(c) for c in rest]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    return kept.unionByName(docs.where("doc_id is null")).toDF(*names)

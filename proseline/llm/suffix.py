@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proseline.llm.common import body, cut
+from proseline.llm.common import body, cut, guarded
 
 LEAST, SPAN, GRAM = 50, 16, 8
 #: Words whose hashes a worker remembers.
@@ -249,8 +249,9 @@ def remove_repeated(docs: DataFrame, least: int = LEAST, span: int = SPAN) -> Da
     Rows that lose nothing stay as they are, empty ones too; a row that loses something has n_chars (where docs has the
     column) counted again.
     """
+    docs, given = guarded(docs)
     found = repeated(docs, least, span, later_only=True).select(F.col("doc_id").alias("_id"), "spans")
-    names = [f"`{c}`" for c in docs.columns]
+    names = docs.columns
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema.fields), T.StructField("_gone", T.BooleanType())])
 
     def run(batches):
@@ -266,4 +267,4 @@ def remove_repeated(docs: DataFrame, least: int = LEAST, span: int = SPAN) -> Da
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(gone)], names=[*columns, "_gone"])
 
     joined = docs.join(found, docs["doc_id"] == found["_id"], "left").select(*[docs[n] for n in names], "spans")
-    return joined.mapInArrow(run, schema).where("not _gone").select(*names)
+    return joined.mapInArrow(run, schema).where("not _gone").select(*names).toDF(*given)
