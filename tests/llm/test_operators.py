@@ -236,8 +236,7 @@ def test_suffix_repeats_equal_brute_force(spark):
     for _ in range(30):
         words = sentence(draw, draw.randrange(20, 200), 10_000).split()
         for p in draw.sample(shared, draw.randrange(0, 3)):
-            at = draw.randrange(len(words))
-            words[at:at] = p
+            words += [*p, *sentence(draw, draw.randrange(1, 30), 10_000).split()]
         texts.append(" ".join(words))
     texts += [texts[0], None, "", "short", "echo " * 200]
     seen = defaultdict(set)
