@@ -25,6 +25,8 @@ SEED = 42
 RADIUS = 3
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+#: Prints of distinct words that bring similar documents together.
+SEEDS = 7
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -105,14 +107,110 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The row of docs with the smallest doc_id of each component, as it is; of rows with one doc_id, any one stays.
+def word_prints(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
+    """doc_id and prints: `seeds` SimHashes of each text's distinct words, as signed longs; texts without words are left out."""
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, (seeds, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
-    Rows without doc_id stay. Columns are those of docs.
+    def run(batches):
+        for batch in batches:
+            ids, out = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = set(text.lower().split())
+                if not words:
+                    continue
+                base = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+                total = np.zeros((seeds, 64), np.int64)
+                for at in range(0, len(base), CHUNK):
+                    h = base[None, at : at + CHUNK] * odd
+                    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+                    h ^= h >> np.uint64(28)
+                    for s in range(seeds):
+                        bits = np.unpackbits(h[s].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                        total[s] += bits.sum(0, dtype=np.int64)
+                ids.append(i)
+                out.append(np.packbits(2 * total > len(base), axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel().tolist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "prints"]
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", body().alias("body")).mapInArrow(run, f"doc_id {kind}, prints array<bigint>")
+
+
+def cell_links(prints: DataFrame) -> DataFrame:
+    """(a, b): each document and the smallest doc_id in each of its cells, eight cells a print.
+
+    A cell is the bit counts of a half of a print's segments and a quarter of the other half's. Cells are combined before the shuffle and link to
+    one member only, so a group of near copies gives a number of links in proportion to its size.
+    """
+    upper = lambda x: counts(F.shiftrightunsigned(x, 32))
+    lower = lambda x: counts(x.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    def of(x: Column, i: Column) -> Column:
+        halves = (upper(x), lower(x))
+        quarter = lambda h, k: F.shiftrightunsigned(h, 8 * k).bitwiseAND(F.lit(0xFF))
+        return F.array(
+            *[F.xxhash64(i, F.lit(4 * a + k), halves[a], quarter(halves[1 - a], k)) for a in (0, 1) for k in range(4)]
+        )
+
+    cells = prints.select("doc_id", F.explode(F.flatten(F.transform("prints", of))).alias("cell"))
+    least = cells.groupBy("cell").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last")
+    found = cells.join(least.select("cell", "b"), "cell").where("doc_id > b")
+    return found.select(F.col("doc_id").alias("a"), "b").distinct()
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and grams: the sorted 64-bit hashes of each text's distinct shingles, as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                words = text.lower().split()
+                grams = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
+                out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams), np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "grams"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", body().alias("body")).mapInArrow(run, f"doc_id {kind}, grams binary")
+
+
+def similar_links(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of pairs (a, b) whose texts have a Jaccard similarity of `least` or more over shingles."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    sets = cut(shingle_sets(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi"), shingle))
+    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(
+        sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b"
+    )
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.select("a", "b", "ga", "gb").mapInArrow(run, "a bigint, b bigint")
+
+
+def keep_first(docs: DataFrame, shingle: int = 3, similar: float | None = 0.8, similar_shingle: int = 5) -> DataFrame:
+    """One row of docs for each group of near-duplicates, as it is: that of the smallest doc_id.
+
+    Groups are those of near_duplicates, and further documents that the popcount cells of several prints bring together
+    and whose five-word shingles are similar to that degree (None: without these). Of rows with one doc_id, any one stays;
+    rows without doc_id stay. doc_id is a number; columns are those of docs.
     """
     docs, names = guarded(docs)
     found = near_duplicates(docs.select("doc_id", "text"), shingle)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    if similar is not None:
+        first = cut(first)
+        prints = word_prints(docs.where("doc_id is not null"), SEEDS)
+        pairs = cut(cell_links(cut(prints.join(first, prints["doc_id"] == first["_first"], "left_semi"))))
+        member = components(similar_links(pairs, docs, similar_shingle, similar)).where("node <> root")
+        first = first.join(member.select(F.col("node").alias("_first")), "_first", "left_anti")
     kept = docs.join(first, docs["doc_id"] == F.col("_first"), "left_semi")
     rest = [c for c in docs.columns if c != "doc_id"]
     kept = kept.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row"))
