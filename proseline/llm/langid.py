@@ -24,7 +24,7 @@ ROUNDS = 12
 #: Weight of a trigram that training hasn't seen, and the most that one word counts, in nats between languages.
 SMOOTHING, CLIP = 0.5, 12.0
 #: Bytes of text that are handled at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: Words of a text that a mixture is fitted to count by their number; the penalty grows with its logarithm.
 PENALTY = 3.0
 UNKNOWN = "und"

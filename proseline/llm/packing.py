@@ -28,7 +28,7 @@ END_ID = 2
 #: Pieces in a bucket of one length, about.
 BUCKET = 20_000
 #: Words that a worker remembers, and characters of the longest of them.
-REMEMBERED, LONGEST = 700_000, 64
+REMEMBERED, LONGEST = 350_000, 64
 #: New words that are encoded as one text.
 TOGETHER = 512
 #: Marks that may end a word; an apostrophe is none, as what follows it may belong to it.

@@ -24,7 +24,7 @@ from proseline.llm.common import body, cut, guarded
 
 LEAST, SPAN, GRAM = 50, 16, 8
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
