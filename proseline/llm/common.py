@@ -40,8 +40,18 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def body(name: str = "text") -> Column:
-    """The UTF-8 bytes of a text column; a null text is empty."""
+    """The UTF-8 bytes of a text column; a null text is empty.
+
+    Such columns go to Python in batches. Where the session has Spark's own batch size of 10,000 rows, it becomes 500, so
+    that a batch of whole texts stays small in the executor and in its worker.
+    """
+    spark = SparkSession.active()
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "500")
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 

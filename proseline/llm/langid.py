@@ -163,7 +163,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str
 
     def run(batches):
         for batch in batches:
-            texts = [lowered(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [lowered(x) if isinstance(x, bytes) else (x or "").lower().encode() for x in batch.column(place).to_pylist()]
             at = 0
             while at < len(texts):
                 stop, size = at, 0
@@ -190,7 +190,9 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str
                 at = stop
 
     named = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], body().alias("_body")).mapInArrow(
+    bytes_ = body().alias("_body")
+    place = keep.index("text") if "text" in keep else len(keep)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], *[bytes_] * (place == len(keep))).mapInArrow(
         run, f"{named}lang_pred string, score double, langs array<struct<lang: string, share: double>>"
     )
 

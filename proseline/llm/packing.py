@@ -29,6 +29,8 @@ END_ID = 2
 BUCKET = 20_000
 #: Words that a worker remembers, and characters of the longest of them.
 REMEMBERED, LONGEST = 350_000, 64
+#: Words that a worker may hold between tasks.
+BETWEEN_TASKS = 350_000
 #: New words that are encoded as one text.
 TOGETHER = 512
 #: Marks that may end a word; an apostrophe is none, as what follows it may belong to it.
@@ -117,6 +119,11 @@ class Encoder:
                 after = self.marks[mark] = self.ids(mark)
             self.known[x] = self.stems[stem] + after
 
+    def trim(self) -> None:
+        """Forget what a worker between tasks shouldn't hold."""
+        if len(self.known) + len(self.stems) > BETWEEN_TASKS:
+            self.known.clear()
+
     def many(self, texts: list[str]) -> list[bytes]:
         split = [self.starts.split(x) if self.inner.search(x) else x.split(" ") for x in texts]
         self.learn(set(chain.from_iterable(x[1:] for x in split)))
@@ -165,6 +172,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                     [part.column(0).take(pa.array(take)), *columns[: 4 + with_ids]],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids],
                 )
+        encoder.trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", body().alias("body")).mapInArrow(run, f"doc_id {kind}, {PIECE}{', ids binary' * with_ids}")
