@@ -36,9 +36,6 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
-    "Unlicense": """This is free and unencumbered software released into the public domain.
-
-Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
 #: Spellings that count as equivalent, as patterns of the lower-case text; RE2 and Java read them alike.
 SPELLINGS = (
@@ -85,7 +82,7 @@ def scan(docs: DataFrame) -> DataFrame:
     columns are ignored. Every notice has a form of the word licence, so only lines with one are made canonical.
     """
     table = known(docs.sparkSession)
-    hit = F.col("text").isNotNull() & F.regexp_like(F.lower("text"), F.lit("licen[cs]|permission|unencumbered"))
+    hit = F.col("text").isNotNull() & F.regexp_like(F.lower("text"), F.lit("licen[cs]|permission"))
     likely = docs.select("doc_id", "text").where(hit)
     lines = likely.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(
         F.regexp_like(F.lower("line"), F.lit("licen[cs]"))
