@@ -4,9 +4,9 @@ Of a text's suffixes (at word borders), only those at minimisers are kept: where
 least of some SPAN neighbouring places. Equal passages have equal minimisers, so of any passage of LEAST words or more
 that two documents share, both keep a suffix in its first SPAN places, whose first KEY = LEAST - SPAN + 1 words lie in the
 passage. Keys that two documents have mark suffixes to look at; counting them needs no sort and is combined before the
-shuffle, so that a passage of a third of all documents costs no task more than others. Suffixes with such keys are then
-sorted with the words around them, each is compared with its neighbours, and the match is extended to the right and (by
-the same with the words before it, in reverse) to the left.
+shuffle, so that a passage of a third of all documents costs no task more than others. Suffixes with such keys that
+lie side by side make a run. At its first and last suffix all windows of LEAST words around the key are compared with
+those of all documents that have the key, so a run ends where the last window does that another document has too.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,67 +118,56 @@ def suffixes(docs: DataFrame, least: int = LEAST, span: int = SPAN) -> DataFrame
     return docs.where("doc_id is not null").select("doc_id", body().alias("body")).mapInArrow(run, f"key bigint, doc_id {kind}, pos int")
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, size: int, reach: int) -> DataFrame:
-    """wanted (doc_id, pos, key, side, edge, run) with around: hashes of up to `reach` words beside the suffix's key.
+def passages(docs: DataFrame, wanted: DataFrame, least: int, span: int) -> DataFrame:
+    """(doc_id, run, start, hashes): for wanted suffixes (doc_id, pos, edge, run) the hashes of all windows of `least` words
+    that begin in the `span` places up to pos, for the places from start on in a row.
 
-    Side 0 has those after the key, side 1 those before it, the nearest first.
+    Suffixes at an edge give a row each, with their run; the others of a document are put together and have none.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marks = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key", "side", "edge", "run")).alias("marks"))
+    marks = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "edge", "run")).alias("marks"))
 
     def run(batches):
-        known = Hashes()
+        known, powers = Hashes(), Powers()
         for batch in batches:
-            rows, out = [], []
+            rows, runs, starts, out = [], [], [], []
             for i, (text, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                words = (hashed(text, known) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                for m in own:
-                    end = m["pos"] + size
-                    around = words[end : end + reach] if m["side"] == 0 else words[max(0, m["pos"] - reach) : m["pos"]][::-1]
-                    if len(around):
+                words = hashed(text, known)
+                found = windows(words, least, *powers(len(words))).view(np.int64)
+                ranges, done = [(max(0, m["pos"] - span + 1), m["pos"] + 1, m["run"]) for m in own if m["edge"]], 0
+                for pos in sorted({m["pos"] for m in own if not m["edge"]}):
+                    ranges.append((max(done, pos - span + 1), pos + 1, None))
+                    done = pos + 1
+                for first, end, number in ranges:
+                    if first < min(end, len(found)):
                         rows.append(i)
-                        out.append((m["key"], m["side"], m["edge"], m["run"], around.tolist()))
+                        runs.append(number)
+                        starts.append(first)
+                        out.append(found[first:end])
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int32()))
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+                hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True))],
-                    names=["doc_id", "key", "side", "edge", "run", "around"],
+                    [batch.column(0).take(pa.array(rows)), pa.array(runs, pa.int64()), pa.array(starts, pa.int32()), hashes],
+                    names=["doc_id", "run", "start", "hashes"],
                 )
 
     texts = docs.where("doc_id is not null").select("doc_id", body().alias("body"))
-    return texts.join(marks, "doc_id").mapInArrow(
-        run, f"doc_id {kind}, key bigint, side int, edge boolean, run bigint, around array<int>"
-    )
-
+    return texts.join(marks, "doc_id").mapInArrow(run, f"doc_id {kind}, run bigint, start int, hashes array<bigint>")
 
-def common(a: Column, b: Column) -> Column:
-    """How many elements two different arrays begin with in common."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return F.array_position(same, F.lit(False)) - 1
 
+def extensions(found: DataFrame, least: int) -> DataFrame:
+    """(doc_id, run, low, high): from where to where windows of `least` words at each run's first and last suffix reach
+    that another document has too.
 
-def extensions(around: DataFrame) -> DataFrame:
-    """(doc_id, run, before, after): how far the match goes on beyond each run's first and last suffix.
-
-    Equal contexts become one row first. Contexts that begin alike stand together, so each set of a key, a side and a
-    first word is sorted by itself, and only neighbours are compared.
+    A window is compared as a whole with all documents' windows, by its hash, so neither other copies in its own
+    document nor documents that share only one of its ends decide it. Counts are combined before the shuffle.
     """
-    classes = around.groupBy("key", "side", "around").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    order = Window.partitionBy("key", "side", F.col("around")[0]).orderBy("around")
-
-    def beside(step) -> Column:
-        near, other = step("around").over(order), (step("lo").over(order) != F.col("lo")) | (step("hi").over(order) != F.col("lo"))
-        return F.when(near.isNotNull() & other, common(F.col("around"), near)).otherwise(0)
-
-    longest = classes.select(
-        "key", "side", "around",
-        F.when(F.col("lo") < F.col("hi"), F.size("around")).otherwise(F.greatest(beside(F.lag), beside(F.lead))).alias("more"),
-    )
-    found = around.where("edge").join(longest, ["key", "side", "around"])
-    return found.groupBy("doc_id", "run").agg(
-        F.coalesce(F.max(F.when(F.col("side") == 1, F.col("more"))), F.lit(0)).alias("before"),
-        F.coalesce(F.max(F.when(F.col("side") == 0, F.col("more"))), F.lit(0)).alias("after"),
-    )
+    each = found.select("doc_id", F.explode("hashes").alias("window"))
+    shared = each.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    own = found.where("run is not null").select("doc_id", "run", "start", F.posexplode("hashes").alias("at", "window"))
+    own = own.join(shared, "window").withColumn("from", F.col("start") + F.col("at"))
+    return own.groupBy("doc_id", "run").agg(F.min("from").alias("low"), (F.max("from") + least).alias("high"))
 
 
 def repeated(docs: DataFrame, least: int = LEAST, span: int = SPAN, later_only: bool = False) -> DataFrame:
@@ -189,7 +178,7 @@ def repeated(docs: DataFrame, least: int = LEAST, span: int = SPAN, later_only:
     document don't count. Rows of one doc_id are one document's parts, rows without doc_id and null or short texts have
     no spans; no rows give none; other columns are ignored.
     """
-    size, reach = least - span + 1, span - 1
+    size = least - span + 1
     found = suffixes(docs, least, span)
     shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     marks = found.join(shared.select("key", "lo"), "key")
@@ -204,17 +193,19 @@ def repeated(docs: DataFrame, least: int = LEAST, span: int = SPAN, later_only:
         }
     )
     marks = cut(marks.withColumn("run", F.sum(F.col("first").cast("bigint")).over(line)))
-    asked = marks.where("first").select("key", F.lit(1).alias("side")).unionByName(
-        marks.where("last").select("key", F.lit(0).alias("side"))
-    ).distinct()
-    edge = F.when(F.col("side") == 1, F.col("first")).otherwise(F.col("last"))
-    wanted = marks.join(asked, "key").select("doc_id", "pos", "key", "side", edge.alias("edge"), "run")
-    more = extensions(cut(contexts(docs, wanted, size, reach)))
+    # a document that shares only the words from a run's end on may have another suffix there, within span places of it
+    of = Window.partitionBy("doc_id", "counted", "run")
+    beside = (F.col("pos") - F.min("pos").over(of) < span) | (F.max("pos").over(of) - F.col("pos") < span)
+    asked = marks.where("counted").where("run > 0").withColumn("beside", beside).where("beside").select("key").distinct()
+    wanted = marks.join(asked, "key").select("doc_id", "pos", (F.col("first") | F.col("last")).alias("edge"), "run")
+    more = extensions(cut(passages(docs, wanted, least, span)), least)
     runs = marks.where("counted").groupBy("doc_id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + size).alias("end"))
+    # a run shorter than a passage counts as far as its windows do
+    long = F.col("end") - F.col("start") >= least
     whole = runs.join(more, ["doc_id", "run"], "left").select(
         "doc_id",
-        (F.col("start") - F.coalesce("before", F.lit(0))).cast("int").alias("start"),
-        (F.col("end") + F.coalesce("after", F.lit(0))).cast("int").alias("end"),
+        F.when(long, F.least("start", "low")).otherwise(F.col("low")).cast("int").alias("start"),
+        F.when(long, F.greatest("end", "high")).otherwise(F.col("high")).cast("int").alias("end"),
     )
     # spans whose extensions meet become one
     own = Window.partitionBy("doc_id").orderBy("start", "end")
