@@ -156,9 +156,9 @@ def passages(docs: DataFrame, wanted: DataFrame, least: int, span: int) -> DataF
     return texts.join(marks, "doc_id").mapInArrow(run, f"doc_id {kind}, run bigint, start int, hashes array<bigint>")
 
 
-def extensions(found: DataFrame, least: int) -> DataFrame:
+def extensions(found: DataFrame, least: int, later_only: bool = False) -> DataFrame:
     """(doc_id, run, low, high): from where to where windows of `least` words at each run's first and last suffix reach
-    that another document has too.
+    that another document has too; with later_only, one of smaller doc_id.
 
     A window is compared as a whole with all documents' windows, by its hash, so neither other copies in its own
     document nor documents that share only one of its ends decide it. Counts are combined before the shuffle.
@@ -166,7 +166,7 @@ def extensions(found: DataFrame, least: int) -> DataFrame:
     each = found.select("doc_id", F.explode("hashes").alias("window"))
     shared = each.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     own = found.where("run is not null").select("doc_id", "run", "start", F.posexplode("hashes").alias("at", "window"))
-    own = own.join(shared, "window").withColumn("from", F.col("start") + F.col("at"))
+    own = own.join(shared, "window").where("lo < doc_id" if later_only else "true").withColumn("from", F.col("start") + F.col("at"))
     return own.groupBy("doc_id", "run").agg(F.min("from").alias("low"), (F.max("from") + least).alias("high"))
 
 
@@ -198,7 +198,7 @@ def repeated(docs: DataFrame, least: int = LEAST, span: int = SPAN, later_only:
     beside = (F.col("pos") - F.min("pos").over(of) < span) | (F.max("pos").over(of) - F.col("pos") < span)
     asked = marks.where("counted").where("run > 0").withColumn("beside", beside).where("beside").select("key").distinct()
     wanted = marks.join(asked, "key").select("doc_id", "pos", (F.col("first") | F.col("last")).alias("edge"), "run")
-    more = extensions(cut(passages(docs, wanted, least, span)), least)
+    more = extensions(cut(passages(docs, wanted, least, span)), least, later_only)
     runs = marks.where("counted").groupBy("doc_id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + size).alias("end"))
     # a run shorter than a passage counts as far as its windows do
     long = F.col("end") - F.col("start") >= least

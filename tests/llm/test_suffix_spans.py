@@ -51,3 +51,16 @@ def test_overlaps_of_many_documents_are_found_whole(spark):
         texts[i] = " ".join(parts)
     found, exact = spans(spark, texts), covered(texts)
     assert set(exact) <= set(found) and all(exact[i] <= found[i] for i in exact)
+
+
+def test_later_only_leaves_each_passage_in_a_document(spark):
+    say, texts = sayer(34), {}
+    for i in range(30):
+        shared, more, short, end = say(60), say(14), say(40), say(14)
+        texts[10 * i + 1] = f"{say(20)} {shared} {say(20)} {short} {say(20)}"
+        texts[10 * i + 5] = f"{say(20)} {shared} {more} {say(20)} {short} {end} {say(20)}"
+        texts[10 * i + 9] = f"{say(20)} {shared} {more} {say(20)} {short} {end} {say(20)}"
+    assert spans(spark, texts, later_only=True) == covered(texts, later_only=True)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = {w for r in suffix.remove_repeated(docs).collect() for w in r.text.split()}
+    assert left == {w for t in texts.values() for w in t.split()}
