@@ -122,7 +122,7 @@ def rank_spread(spark: SparkSession, sf: str) -> DataFrame:
     names: dict[str, list[str]] = {}
     for r in sums.select("domain", "scenario").distinct().collect():  # a row a scenario, as the draws need them
         names.setdefault(r.domain, []).append(r.scenario)
-    return resample.rank_spread(sums, human, resample.scenario_draws(spark, names, 100), 100)
+    return resample.rank_spread(sums, human, resample.scenario_draws(spark, names))
 
 
 # Ranks and rank intervals of a published board, which its tie groups follow from.
