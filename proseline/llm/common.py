@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key is hot with more than this part of all rows, so there are at most HOT hot keys at any size; and with so many rows at least.
+HOT, HOT_ROWS = 1000, 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the cluster's shared checkpoint folder and forget its lineage.
 
-    The folder is the session's spark.checkpoint.dir. Only where none is set, as in tests, is a temporary one made.
+    The folder is the session's spark.checkpoint.dir. A local session without one, as in a notebook, gets a temporary
+    folder; a cluster's session without one is an error, since its executors share no local folder.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -29,7 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this application."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="proseline-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="proseline-"))
     return context.getCheckpointDir()
 
 
@@ -40,19 +48,38 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def body(name: str = "text") -> Column:
+    """The UTF-8 bytes of a text column; a null text is empty."""
+    return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
-def body(name: str = "text") -> Column:
-    """The UTF-8 bytes of a text column; a null text is empty.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that a worker holds few whole texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
-    Such columns go to Python in batches. Where the session has Spark's own batch size of 10,000 rows, it becomes 500, so
-    that a batch of whole texts stays small in the executor and in its worker.
+
+def split_join(big: DataFrame, small: DataFrame, keys: list[str], counted: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """big joined on keys to small, which has one row a key; the rows of hot keys are dealt to many tasks.
+
+    counted has the keys and n, how many rows big has of each (counted in big unless given). Hot keys are those with
+    more than a HOTth of all rows: HOT of them at most, however large the tables are, so their list can be broadcast.
+    Rows of a hot key get a number each, from a hash of all their columns, and small's row of it is repeated for each number.
     """
-    spark = SparkSession.active()
-    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
-        spark.conf.set(BATCH_ROWS, "500")
-    return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
+    counted = big.groupBy(*keys).agg(F.count("*").alias("n")) if counted is None else counted
+    counted = counted.select(*keys, "n").where(" and ".join(f"{k} is not null" for k in keys))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    least = max(total // HOT, HOT_ROWS)
+    hot = counted.where(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("_parts")).collect()
+    if not hot:
+        return big.join(small, keys, how)
+    kinds = {f.name: f.dataType.simpleString() for f in small.schema}
+    hot = big.sparkSession.createDataFrame(hot, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "_parts int"]))
+    number = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.col("_parts")).cast("int")
+    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(number, F.lit(0)))
+    repeated = small.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
+    return dealt.drop("_parts").join(repeated.drop("_parts"), [*keys, "_part"], how).drop("_part")
 
 
 #: Columns of documents that operators know by name.

@@ -17,16 +17,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proseline.llm.common import body, cut, guarded
+from proseline.llm.common import body, cut, guarded, slices, split_join
 from proseline.llm.graph import components
+from proseline.llm.words import Hashes, Powers, hashed, windows
 
 SEED = 42
 #: Distance that two halves of 16 segments and one step of the grid cover.
 RADIUS = 3
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
-#: Prints of distinct words that bring similar documents together.
-SEEDS = 7
+#: Classes beyond which segments have one bit.
+WIDE = 1 << 22
+#: Bands of least shingle hashes that bring similar documents together, and hashes in each. Two texts of similarity 0.8 share
+#: a band with a chance of 0.992, of 0.9 with one of 0.999995.
+BANDS, BAND_ROWS = 16, 6
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -46,32 +50,65 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * total > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row of docs; a null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",), bands: int = 0, similar_shingle: int = 5) -> DataFrame:
+    """keep's columns and fp (the fingerprint as a signed long) of each row of docs; a null text counts as empty.
+
+    With bands, a text's words are hashed once more into so many band keys (an array, bands).
+    """
 
     def run(batches):
-        for batch in batches:
-            values = [fingerprint(x, shingle) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"]
-            )
+        known, powers, seeds = Hashes(), Powers(), multipliers(bands * BAND_ROWS)
+        for batch in slices(batches):
+            texts = batch.column(len(keep)).to_pylist()
+            values = np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
+            columns = [*batch.columns[: len(keep)], pa.array(values)]
+            if bands:
+                keys = [band_keys(shingle_hashes(x, similar_shingle, known, powers), seeds) for x in texts]
+                columns.append(pa.array(keys, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "fp", "bands"][: len(columns)])
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, body().alias("body")).mapInArrow(run, f"{kinds}, fp bigint" + ", bands array<bigint>" * bool(bands))
+
+
+def shingle_hashes(text: bytes, shingle: int, known: Hashes, powers: Powers) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct shingles (of the whole sequence, if it has fewer words)."""
+    words = hashed(text, known)
+    size = max(1, min(shingle, len(words)))
+    return np.unique(windows(words, size, *powers(len(words))))
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", body().alias("body")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+def multipliers(n: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 63, (n, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def counts(bits: Column) -> Column:
-    """Of 32 bits (a long that isn't negative): 16 fields of two bits, each the number of ones in the segment there."""
-    return bits - F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(0x55555555))
+def band_keys(grams: np.ndarray, seeds: np.ndarray) -> list[int]:
+    """A key a band: a hash of the least values of BAND_ROWS permutations of the shingles' hashes; none without shingles."""
+    if not len(grams):
+        return []
+    least = np.full(len(seeds), ~np.uint64(0))
+    for at in range(0, len(grams), CHUNK // 16):
+        np.minimum(least, (grams[None, at : at + CHUNK // 16] * seeds).min(1), out=least)
+    return [xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(least.reshape(-1, BAND_ROWS))]
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b): pairs of different values of fp that differ in RADIUS bits or fewer, each at least once."""
+def counts(bits: Column, width: int = 2) -> Column:
+    """Of 32 bits (a long that isn't negative): fields of `width` bits (1 or 2), each the number of ones in the segment there."""
+    return bits if width == 1 else bits - F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(0x55555555))
+
+
+def links(prints: DataFrame, width: int = 2) -> DataFrame:
+    """(a, b): pairs of different values of fp that differ in RADIUS bits or fewer, each at least once.
+
+    width, the bits of a segment, changes the work and not the result: n random prints meet in about 3.4e-6 n^2 pairs
+    with two bits, and 1.5e-8 n^2 with one, for a half more probes.
+    """
     upper, lower = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    halves = prints.select("fp", F.posexplode(F.array(counts(upper), counts(lower))).alias("half", "cell"))
+    halves = prints.select("fp", F.posexplode(F.array(counts(upper, width), counts(lower, width))).alias("half", "cell"))
+    # a segment's count can rise by one unless it is full: the field's highest value is `width`
     above = F.transform(
-        F.array(*[F.lit(1 << 2 * i).cast("bigint") for i in range(16)]),
-        lambda one: F.when(F.col("cell").bitwiseAND(one * 2) == 0, F.col("cell") + one),
+        F.array(*[F.lit(1 << width * i).cast("bigint") for i in range(32 // width)]),
+        lambda one: F.when(F.col("cell").bitwiseAND(one * width) == 0, F.col("cell") + one),
     )
     probes = halves.select(
         F.col("fp").alias("a"),
@@ -87,6 +124,22 @@ def links(prints: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
+def classes(prints: DataFrame, first: Column) -> DataFrame:
+    """prints (fp and other columns) -> fp, n and first (an aggregate), a row for each fp, so that copies cost a row in joins."""
+    return cut(prints.groupBy("fp").agg(F.count("*").alias("n"), first.alias("first")))
+
+
+def class_links(found: DataFrame) -> DataFrame:
+    """links between the classes; segments get narrower where there are very many."""
+    return links(found.select("fp"), 2 if found.count() <= WIDE else 1)
+
+
+def rooted(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """found with root: the same for all classes that edges lead to, and the fp itself where none does."""
+    member = components(edges).select(F.col("node").alias("fp"), "root")
+    return found.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row of docs.
 
@@ -96,123 +149,102 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     doc_id is never a component_id unless its component has no other. No rows give none; other columns are ignored.
     """
     prints = cut(fingerprints(docs, shingle))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    member = components(links(classes.select("fp")))
-    member = member.join(classes, member.node == classes.fp).select("fp", "root", "first")
-    reach = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = member.join(reach, "root").select("fp", "component_id")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(named, "fp").select(
+    found = classes(prints, F.min("doc_id"))
+    joined = cut(rooted(found, class_links(found)))
+    reach = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = joined.join(reach, "root").select("fp", "component_id")
+    return split_join(prints, named, ["fp"], found).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def word_prints(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """doc_id and prints: `seeds` SimHashes of each text's distinct words, as signed longs; texts without words are left out."""
-    odd = np.random.default_rng(SEED).integers(0, 1 << 63, (seeds, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def run(batches):
-        for batch in batches:
-            ids, out = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = set(text.lower().split())
-                if not words:
-                    continue
-                base = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
-                total = np.zeros((seeds, 64), np.int64)
-                for at in range(0, len(base), CHUNK):
-                    h = base[None, at : at + CHUNK] * odd
-                    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
-                    h ^= h >> np.uint64(28)
-                    for s in range(seeds):
-                        bits = np.unpackbits(h[s].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                        total[s] += bits.sum(0, dtype=np.int64)
-                ids.append(i)
-                out.append(np.packbits(2 * total > len(base), axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel().tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "prints"]
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", body().alias("body")).mapInArrow(run, f"doc_id {kind}, prints array<bigint>")
-
-
-def cell_links(prints: DataFrame) -> DataFrame:
-    """(a, b): each document and the smallest doc_id in each of its cells, eight cells a print.
-
-    A cell is the bit counts of a half of a print's segments and a quarter of the other half's. Cells are combined before the shuffle and link to
-    one member only, so a group of near copies gives a number of links in proportion to its size.
+def met(cells: DataFrame, order: Column) -> DataFrame:
+    """(cell, node) -> distinct (a, b, n): each node and, in each of its cells, the node that comes first there; n is the
+    size of the largest cell where they met. Cells are combined before the shuffle, and each gives fewer links than it
+    has nodes, so a large group of near copies gives a number of links in proportion to its size.
     """
-    upper = lambda x: counts(F.shiftrightunsigned(x, 32))
-    lower = lambda x: counts(x.bitwiseAND(F.lit(0xFFFFFFFF)))
+    least = cells.groupBy("cell").agg(F.min_by("node", order).alias("b"), F.count("*").alias("n")).where("n > 1")
+    least = cut(least)
+    found = split_join(cells, least, ["cell"], least).where("node <> b")
+    return found.groupBy(F.col("node").alias("a"), "b").agg(F.max("n").alias("n"))
 
-    def of(x: Column, i: Column) -> Column:
-        halves = (upper(x), lower(x))
-        quarter = lambda h, k: F.shiftrightunsigned(h, 8 * k).bitwiseAND(F.lit(0xFF))
-        return F.array(
-            *[F.xxhash64(i, F.lit(4 * a + k), halves[a], quarter(halves[1 - a], k)) for a in (0, 1) for k in range(4)]
-        )
 
-    cells = prints.select("doc_id", F.explode(F.flatten(F.transform("prints", of))).alias("cell"))
-    least = cells.groupBy("cell").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last")
-    found = cells.join(least.select("cell", "b"), "cell").where("doc_id > b")
-    return found.select(F.col("doc_id").alias("a"), "b").distinct()
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(a, b): links between nodes whose texts have a Jaccard similarity of `least` or more over shingles.
+
+    nodes has node, the keys of its row of docs (doc_id, _t) and bands. Nodes meet in the cells of single bands, and each
+    is verified there against one node of the cell, on whole sets of shingles. Where a cell of more than two has a node
+    that isn't similar to the one it was compared with, all nodes compared with that one meet again in the cells of every
+    two bands, each time with another node, as a hash has it: unrelated documents that share a long passage part there.
+    """
+    seeds = F.col("bands")
+    single = nodes.select("node", F.explode("bands").alias("cell"))
+    pairs = cut(met(single, F.col("node")))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = nodes.select("node", "doc_id", "_t").join(asked, "node", "left_semi")
+    texts = docs.select("doc_id", "_t", "text").join(asked, ["doc_id", "_t"]).dropDuplicates(["doc_id", "_t"])
+    sets = cut(shingle_sets(texts, shingle))
+    first = cut(verified(pairs, sets, least))
+    failed = first.where("not similar and n > 2").select("b").distinct()
+    again = first.join(failed, "b", "left_semi").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    two = F.flatten(F.transform(F.sequence(F.lit(0), F.size(seeds) - 2), lambda i: F.transform(
+        F.sequence(i + 1, F.size(seeds) - 1), lambda j: F.xxhash64(i, j, F.get(seeds, i), F.get(seeds, j)))))
+    double = nodes.where(F.size(seeds) > 1).join(again, "node", "left_semi").select("node", F.explode(two).alias("cell"))
+    more = met(double, F.xxhash64("cell", "node")).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = verified(more, sets, least)
+    return first.where("similar").select("a", "b").unionByName(second.where("similar").select("a", "b"))
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and grams: the sorted 64-bit hashes of each text's distinct shingles, as bytes."""
+    """node and grams: the sorted 64-bit hashes of each text's distinct shingles, as bytes."""
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                words = text.lower().split()
-                grams = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
-                out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams), np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "grams"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", body().alias("body")).mapInArrow(run, f"doc_id {kind}, grams binary")
-
-
-def similar_links(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of pairs (a, b) whose texts have a Jaccard similarity of `least` or more over shingles."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    sets = cut(shingle_sets(docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi"), shingle))
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b"
-    )
+        known, powers = Hashes(), Powers()
+        for batch in slices(batches):
+            out = [shingle_hashes(x, shingle, known, powers).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "grams"])
+
+    return docs.select("node", body().alias("body")).mapInArrow(run, "node bigint, grams binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """pairs (a, b, n) with similar. b, the node that many are compared with, is joined in parts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keep, pa.bool_())], names=["a", "b", "n", "similar"])
 
-    return joined.select("a", "b", "ga", "gb").mapInArrow(run, "a bigint, b bigint")
+    many = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("_ga")), "a")
+    joined = split_join(joined, sets.select(F.col("node").alias("b"), F.col("grams").alias("_gb")), ["b"], many)
+    return joined.select("a", "b", "n", "_ga", "_gb").mapInArrow(run, "a bigint, b bigint, n bigint, similar boolean")
 
 
-def keep_first(docs: DataFrame, shingle: int = 3, similar: float | None = 0.8, similar_shingle: int = 5) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 3, similar: float | None = 0.8, similar_shingle: int = 5, bands: int = BANDS) -> DataFrame:
     """One row of docs for each group of near-duplicates, as it is: that of the smallest doc_id.
 
-    Groups are those of near_duplicates, and further documents that the popcount cells of several prints bring together
-    and whose five-word shingles are similar to that degree (None: without these). Of rows with one doc_id, any one stays;
-    rows without doc_id stay. doc_id is a number; columns are those of docs.
+    Links are those of near_duplicates, and those between texts whose five-word shingles are similar to that degree (None:
+    without these). Texts of one fingerprint count as one there, by the text of the smallest doc_id. Rows of one doc_id are told apart by their texts, so only copies and near
+    copies go; of rows alike in doc_id and text any one stays, and of a group's rows with its smallest doc_id the one of
+    least text hash. Null and empty texts are alike. Rows without doc_id stay. Columns are those of docs.
     """
     docs, names = guarded(docs)
-    found = near_duplicates(docs.select("doc_id", "text"), shingle)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    docs = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    prints = cut(fingerprints(docs.where("doc_id is not null"), shingle, ("doc_id", "_t"), bands if similar is not None else 0, similar_shingle))
+    found = classes(prints, F.min(F.struct("doc_id", "_t", "fp")))
+    edges = class_links(found)
     if similar is not None:
-        first = cut(first)
-        prints = word_prints(docs.where("doc_id is not null"), SEEDS)
-        pairs = cut(cell_links(cut(prints.join(first, prints["doc_id"] == first["_first"], "left_semi"))))
-        member = components(similar_links(pairs, docs, similar_shingle, similar)).where("node <> root")
-        first = first.join(member.select(F.col("node").alias("_first")), "_first", "left_anti")
-    kept = docs.join(first, docs["doc_id"] == F.col("_first"), "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    kept = kept.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row"))
-    kept = kept.select("doc_id", *[F.col("_row").getField(c).alias(c) for c in rest]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null")).toDF(*names)
+        own = found.select(F.col("fp").alias("node"), "first.doc_id", "first._t")
+        nodes = cut(own.join(prints.select("doc_id", "_t", "bands"), ["doc_id", "_t"]).dropDuplicates(["doc_id", "_t"]))
+        edges = edges.unionByName(similar_links(docs, nodes, similar_shingle, similar))
+    kept = rooted(found, edges).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    kept = docs.join(kept.select("doc_id", "_t"), ["doc_id", "_t"], "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "_t")]
+    kept = kept.groupBy("doc_id", "_t").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row"))
+    kept = kept.select("doc_id", *[F.col("_row").getField(c).alias(c) for c in rest]).select(*docs.columns[:-1])
+    return kept.unionByName(docs.where("doc_id is null").drop("_t")).toDF(*names)

@@ -4,9 +4,11 @@ Of a text's suffixes (at word borders), only those at minimisers are kept: where
 least of some SPAN neighbouring places. Equal passages have equal minimisers, so of any passage of LEAST words or more
 that two documents share, both keep a suffix in its first SPAN places, whose first KEY = LEAST - SPAN + 1 words lie in the
 passage. Keys that two documents have mark suffixes to look at; counting them needs no sort and is combined before the
-shuffle, so that a passage of a third of all documents costs no task more than others. Suffixes with such keys that
-lie side by side make a run. At its first and last suffix all windows of LEAST words around the key are compared with
-those of all documents that have the key, so a run ends where the last window does that another document has too.
+shuffle, so that a passage of a third of all documents costs no task more than others. Each suffix is compared with
+one partner, the first place that has its key (the last for the first document itself). Neighbouring suffixes whose
+partners are as far apart as they are make a run: all its words stand in the partner in a row. At a run's first and last
+suffix all windows of LEAST words around the key are compared with those of all documents that have the key; so what
+counts is exactly the windows of LEAST words that another document has too.
 """
 
 from __future__ import annotations
@@ -15,45 +17,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proseline.llm.common import body, cut, guarded
+from proseline.llm.common import body, cut, guarded, slices, split_join
+from proseline.llm.words import Hashes, Powers, hashed, windows
 
 LEAST, SPAN, GRAM = 50, 16, 8
-#: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 18
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Hashes(dict):
-    """64-bit hashes of words, remembered up to a number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = xxhash.xxh64_intdigest(word, 17)
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-
-def hashed(text: bytes, known: Hashes) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def windows(words: np.ndarray, n: int, powers: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-    """A hash of each n words in a row: a polynomial modulo 2^64 of their hashes, mixed."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers[: len(words)], dtype=np.uint64)])
-    out = (summed[n:] - summed[:-n]) * inverse[: len(words) - n + 1]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(29))
 
 
 def minimisers(grams: np.ndarray, span: int) -> np.ndarray:
@@ -74,29 +45,13 @@ def minimisers(grams: np.ndarray, span: int) -> np.ndarray:
     return np.flatnonzero(sliding(np.concatenate([edge, least, edge]), span, np.maximum) == grams)
 
 
-class Powers:
-    """Powers of the base and of its inverse modulo 2^64, made as long as texts ask for."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(0, np.uint64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            size = max(n, 1 << 12)
-            self.up, self.down = (
-                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x)]), dtype=np.uint64) for x in (_BASE, inverse)
-            )
-        return self.up, self.down
-
-
 def suffixes(docs: DataFrame, least: int = LEAST, span: int = SPAN) -> DataFrame:
     """(key, doc_id, pos): the suffixes at minimisers that have least - span + 1 words or more. pos counts words."""
     size = least - span + 1
 
     def run(batches):
         known, powers = Hashes(), Powers()
-        for batch in batches:
+        for batch in slices(batches):
             keys, places, rows = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = hashed(text, known)
@@ -129,7 +84,7 @@ def passages(docs: DataFrame, wanted: DataFrame, least: int, span: int) -> DataF
 
     def run(batches):
         known, powers = Hashes(), Powers()
-        for batch in batches:
+        for batch in slices(batches):
             rows, runs, starts, out = [], [], [], []
             for i, (text, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 words = hashed(text, known)
@@ -164,9 +119,11 @@ def extensions(found: DataFrame, least: int, later_only: bool = False) -> DataFr
     document nor documents that share only one of its ends decide it. Counts are combined before the shuffle.
     """
     each = found.select("doc_id", F.explode("hashes").alias("window"))
-    shared = each.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    shared = each.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
+    shared = cut(shared.where("lo < hi"))
     own = found.where("run is not null").select("doc_id", "run", "start", F.posexplode("hashes").alias("at", "window"))
-    own = own.join(shared, "window").where("lo < doc_id" if later_only else "true").withColumn("from", F.col("start") + F.col("at"))
+    own = split_join(own, shared.select("window", "lo"), ["window"], shared)
+    own = own.where("lo < doc_id" if later_only else "true").withColumn("from", F.col("start") + F.col("at"))
     return own.groupBy("doc_id", "run").agg(F.min("from").alias("low"), (F.max("from") + least).alias("high"))
 
 
@@ -180,24 +137,33 @@ def repeated(docs: DataFrame, least: int = LEAST, span: int = SPAN, later_only:
     """
     size = least - span + 1
     found = suffixes(docs, least, span)
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    marks = found.join(shared.select("key", "lo"), "key")
-    counted = (F.col("doc_id") > F.col("lo")) if later_only else F.lit(True)
-    marks = marks.select("key", "doc_id", "pos", counted.alias("counted")).distinct()
+    shared = found.groupBy("key").agg(
+        F.min("doc_id").alias("lo"), F.min_by("pos", "doc_id").alias("lo_pos"),
+        F.max("doc_id").alias("hi"), F.max_by("pos", "doc_id").alias("hi_pos"), F.count("*").alias("n"),
+    )
+    shared = cut(shared.where("lo < hi"))
+    marks = split_join(found, shared, ["key"], shared)
+    later = F.col("doc_id") > F.col("lo")
+    marks = marks.select(
+        "key", "doc_id", "pos", "n",
+        (later if later_only else F.lit(True)).alias("counted"),
+        F.when(later, F.col("lo")).otherwise(F.col("hi")).alias("partner"),
+        (F.when(later, F.col("lo_pos")).otherwise(F.col("hi_pos")) - F.col("pos")).alias("shift"),
+    ).distinct()
     line = Window.partitionBy("doc_id", "counted").orderBy("pos")
-    before, after = F.lag("pos").over(line), F.lead("pos").over(line)
-    marks = marks.withColumns(
-        {
-            "first": F.col("counted") & (before.isNull() | (before + size < F.col("pos"))),
-            "last": F.col("counted") & (after.isNull() | (F.col("pos") + size < after)),
-        }
-    )
-    marks = cut(marks.withColumn("run", F.sum(F.col("first").cast("bigint")).over(line)))
+
+    def goes_on(step) -> Column:
+        """Whether the neighbour's words and this suffix's stand in one partner in a row."""
+        near = F.abs(step("pos").over(line) - F.col("pos")) <= size
+        return F.coalesce(near & (step("partner").over(line) == F.col("partner")) & (step("shift").over(line) == F.col("shift")), F.lit(False))
+
+    marks = marks.withColumns({"first": F.col("counted") & ~goes_on(F.lag), "last": F.col("counted") & ~goes_on(F.lead)})
+    marks = cut(marks.withColumn("run", F.sum(F.col("first").cast("bigint")).over(line)).drop("partner", "shift"))
     # a document that shares only the words from a run's end on may have another suffix there, within span places of it
     of = Window.partitionBy("doc_id", "counted", "run")
     beside = (F.col("pos") - F.min("pos").over(of) < span) | (F.max("pos").over(of) - F.col("pos") < span)
-    asked = marks.where("counted").where("run > 0").withColumn("beside", beside).where("beside").select("key").distinct()
-    wanted = marks.join(asked, "key").select("doc_id", "pos", (F.col("first") | F.col("last")).alias("edge"), "run")
+    asked = cut(marks.where("counted").withColumn("beside", beside).where("beside").groupBy("key").agg(F.first("n").alias("n")))
+    wanted = split_join(marks.drop("n"), asked.select("key"), ["key"], asked).select("doc_id", "pos", (F.col("first") | F.col("last")).alias("edge"), "run")
     more = extensions(cut(passages(docs, wanted, least, span)), least, later_only)
     runs = marks.where("counted").groupBy("doc_id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + size).alias("end"))
     # a run shorter than a passage counts as far as its windows do
@@ -246,7 +212,7 @@ def remove_repeated(docs: DataFrame, least: int = LEAST, span: int = SPAN) -> Da
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema.fields), T.StructField("_gone", T.BooleanType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
             cut_ = [x if not s else without(x.encode(), s).decode().lstrip() for x, s in zip(texts, spans, strict=True)]
             gone = [bool(s) and not x.strip() for x, s in zip(cut_, spans, strict=True)]

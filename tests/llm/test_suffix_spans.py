@@ -1,6 +1,6 @@
 import random
 
-from proseline.llm import suffix
+from proseline.llm import common, suffix
 
 LEAST = 50
 
@@ -49,8 +49,35 @@ def test_overlaps_of_many_documents_are_found_whole(spark):
             pool, at = pools[draw.randrange(4)], draw.randrange(100)
             parts += [" ".join(pool[at : at + draw.randrange(40, 90)]), say(12)]
         texts[i] = " ".join(parts)
-    found, exact = spans(spark, texts), covered(texts)
-    assert set(exact) <= set(found) and all(exact[i] <= found[i] for i in exact)
+    assert spans(spark, texts) == covered(texts)
+    assert spans(spark, texts, later_only=True) == covered(texts, later_only=True)
+
+
+def test_short_overlaps_in_a_row_are_no_passage(spark):
+    say, texts = sayer(35), {}
+    for i in range(20):
+        words = say(60).split()
+        texts[3 * i] = " ".join(words)
+        texts[3 * i + 1] = f"{say(10)} {' '.join(words[:45])} {say(10)}"
+        texts[3 * i + 2] = f"{say(10)} {' '.join(words[15:])} {say(10)}"
+    assert spans(spark, texts) == {}
+
+
+def test_a_hot_passage_is_split(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(common, "HOT", 4)
+    say = sayer(36)
+    hot, texts = say(70), {}
+    for i in range(120):
+        texts[i] = f"{say(15)} {hot} {say(15)}" if i % 3 == 0 else say(80)
+    assert spans(spark, texts) == covered(texts)
+
+
+def test_very_long_texts(spark):
+    say = sayer(37)
+    hot = say(60)
+    texts = {1: f"{say(60000)} {hot} {say(40000)}", 2: f"{hot} {say(80000)}", 3: say(100)}
+    assert spans(spark, texts) == {1: set(range(60000, 60060)), 2: set(range(60))}
 
 
 def test_later_only_leaves_each_passage_in_a_document(spark):
