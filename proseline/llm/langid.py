@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proseline.llm.common import body, guarded
+from proseline.llm.common import body, guarded, slices
 
 BINS = 1 << 16
 ROUNDS = 12
@@ -49,7 +49,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         table: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = np.frombuffer(b" " + lowered(text) + b" ", np.uint8)
                 if len(data) > 2:
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str
     keep = ["doc_id"] if keep is None else keep
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [lowered(x) if isinstance(x, bytes) else (x or "").lower().encode() for x in batch.column(place).to_pylist()]
             at = 0
             while at < len(texts):

@@ -44,15 +44,19 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if kind == b"P1":
         plain = re.sub(rb"#[^\n]*|\s", b"", bytes(memoryview(data)[found.end() :]))
         out = np.frombuffer(plain[:n], np.uint8) - 48
+        if out.size and out.max() > 1:
+            raise ValueError("a Netpbm sample out of range")
     elif kind in (b"P2", b"P3"):
-        out = np.array(re.sub(rb"#[^\n]*", b"", bytes(rest)).split()[:n], np.uint32)
+        out = np.array(re.sub(rb"#[^\n]*", b"", bytes(rest)).split()[:n], np.int64)
+        if out.size and not 0 <= out.min() <= out.max() <= top:
+            raise ValueError("a Netpbm sample out of range")
     elif kind == b"P4":
         row = -(-width // 8)
         bits = np.unpackbits(np.frombuffer(rest[: row * height], np.uint8).reshape(height, row), axis=1)
         out = bits[:, :width].reshape(-1)
     else:
         out = np.frombuffer(rest[: n * kind_of.itemsize], kind_of)
-    if out.size != n:
+    if out.size != n or not n:
         raise ValueError("a Netpbm image that ends early")
     return out.astype(np.uint8 if top < 256 else np.uint16, copy=False).reshape(shape)
 
@@ -65,12 +69,24 @@ def encode_netpbm(pixels: np.ndarray) -> bytes:
     return head + pixels.astype(">u2" if wide else np.uint8, copy=False).tobytes()
 
 
+def _channel(values: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of a mask in each value, spread over 0 to 255; 0 without a mask."""
+    if not mask:
+        return np.zeros(values.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    top = mask >> low
+    return (((values & np.uint32(mask)) >> np.uint32(low)).astype(np.uint64) * 255 // top).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """An uncompressed BMP of 8 (palette), 24 or 32 bits a pixel as (height, width, 3) in red, green, blue."""
+    """An uncompressed BMP of 8 (palette), 16, 24 or 32 bits a pixel as (height, width, 3) in red, green, blue.
+
+    16 bits are five a channel unless masks say where each channel's bits are, as they may for 32 bits too.
+    """
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP image")
     start, head, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    if packed not in (0, 3) or bits not in (8, 16, 24, 32) or packed == 3 and bits not in (16, 32) or width <= 0 or height == 0:
         raise ValueError("a BMP form that isn't supported")
     row = -(-width * bits // 32) * 4
     raw = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)
@@ -80,6 +96,10 @@ def decode_bmp(data: bytes) -> np.ndarray:
         entries = np.frombuffer(data, np.uint8, 4 * (used or 256), 14 + head).reshape(-1, 4)
         table[: len(entries)] = entries
         out = table[raw[:, :width]][:, :, 2::-1]
+    elif packed == 3 or bits == 16:
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        values = np.ascontiguousarray(raw[:, : width * bits // 8]).view(f"<u{bits // 8}").astype(np.uint32)
+        out = np.stack([_channel(values, m) for m in masks], axis=2)
     else:
         out = raw[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
     return out if height < 0 else out[::-1]
@@ -191,12 +211,13 @@ def describe(media: DataFrame) -> DataFrame:
     def one(data: bytes | None) -> tuple:
         try:
             pixels = decode(data)
-        except (ValueError, TypeError, struct.error):
+            small, feature = tile(pixels), difference_hash(pixels)
+        except (ValueError, TypeError, IndexError, OverflowError, MemoryError, struct.error):
             return (None,) * len(kinds)
         samples = memoryview(np.ascontiguousarray(pixels)).cast("B")
         return (
             *pixels.shape[:2], samples.nbytes, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(data),
-            hashlib.sha256(data).hexdigest(), tile(pixels), difference_hash(pixels),
+            hashlib.sha256(data).hexdigest(), small, feature,
         )
 
     def run(batches):

@@ -20,7 +20,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as grey images, read back, resized and hashed."""
     found = media.describe(media.text_images(table(spark, sf_dir, "documents")))
     return found.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"
     )
 
 

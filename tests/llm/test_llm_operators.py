@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -112,6 +113,16 @@ def test_image_formats():
     assert media.decode(b"P4\n3 2\n\xa0\x40").tolist() == [[1, 0, 1], [0, 1, 0]]
     with pytest.raises(ValueError, match="early"):
         media.decode(b"P5\n4 4\n255\nabc")
+    head = b"BM" + struct.pack("<IHHI", 90, 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 3, 5, 1, 32, 3, 24, 0, 0, 0, 0)
+    wide = colour[::-1].astype("<u4")
+    for masks, values in (((0xFF0000, 0xFF00, 0xFF), wide[:, :, 0] << 16 | wide[:, :, 1] << 8 | wide[:, :, 2]), ((0xFF, 0xFF00, 0xFF0000), wide[:, :, 2] << 16 | wide[:, :, 1] << 8 | wide[:, :, 0])):
+        assert (media.decode(head + struct.pack("<III", *masks) + values.astype("<u4").tobytes()) == colour).all()
+
+
+def test_bad_images_are_null(spark):
+    bad = [b"P2\n2 2\n255\n1 2 3 99999999999", b"P5\n0 0\n255\n", b"P1\n2 2\n1 0 7 1", b"BM" + bytes(60), b"P6\n99999 99999\n255\nabc", b"P3\n1 1\n255\n-1 0 0", b"", b"P4\n9 9\n", b"P5\n9999999999999 1\n255\n", None]
+    found = media.describe(spark.createDataFrame(list(enumerate(bad)), "doc_id long, media binary")).collect()
+    assert [(r.feature, r.tile, r.media_bytes) for r in found] == [(None, None, None)] * len(bad)
 
 
 def slow_repeats(words):
