@@ -54,10 +54,15 @@ def body(name: str = "text") -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of a few rows, so that a worker holds few whole texts as Python objects at a time."""
+    """The batches in parts of a few rows, so that a worker holds few whole texts as Python objects at a time.
+
+    What Arrow keeps of a batch that is done is given back, since workers live on from task to task.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        batch = None
+        pa.default_memory_pool().release_unused()
 
 
 def split_join(big: DataFrame, small: DataFrame, keys: list[str], counted: DataFrame | None = None, how: str = "inner") -> DataFrame:
@@ -77,9 +82,16 @@ def split_join(big: DataFrame, small: DataFrame, keys: list[str], counted: DataF
     kinds = {f.name: f.dataType.simpleString() for f in small.schema}
     hot = big.sparkSession.createDataFrame(hot, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "_parts int"]))
     number = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.col("_parts")).cast("int")
-    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(number, F.lit(0)))
+    dealt = big.join(F.broadcast(hot), keys, "left")
     repeated = small.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
-    return dealt.drop("_parts").join(repeated.drop("_parts"), [*keys, "_part"], how).drop("_part")
+    if len(keys) > 1 or kinds[keys[0]] != "bigint" or how != "inner":
+        dealt = dealt.withColumn("_part", F.coalesce(number, F.lit(0)))
+        return dealt.drop("_parts").join(repeated.drop("_parts"), [*keys, "_part"], how).drop("_part")
+    # a 64-bit key and its part make one 64-bit key, so that no row gets wider
+    mixed = lambda part: F.when(F.col("_parts") > 0, F.xxhash64(keys[0], part)).otherwise(F.col(keys[0])).alias("_key")
+    left = dealt.select(*[c for c in big.columns if c != keys[0]], mixed(number))
+    right = repeated.select(*small.columns, mixed(F.col("_part")))
+    return left.join(right, "_key").drop("_key").select(*keys, *[c for c in big.columns if c not in keys], *[c for c in small.columns if c not in keys])
 
 
 #: Columns of documents that operators know by name.

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
