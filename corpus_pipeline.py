@@ -10,28 +10,43 @@ from proseline.llm import langid, mixing, packing, simhash, suffix
 from proseline.llm.common import store, table
 
 
+#: Rows in an Arrow batch. A batch of Spark's own 10,000 texts costs an executor some 400 MB more than one of 500.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+
+
+def settings(spark: SparkSession) -> None:
+    """What this application sets in its session, where the session itself leaves it open."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents without a main language go."""
+    settings(spark)
     return langid.known_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: of each group of near-duplicates, the document with the smallest doc_id stays."""
+    settings(spark)
     return simhash.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: passages stay only in the document with the smallest doc_id of those that have them."""
+    settings(spark)
     return suffix.remove_repeated(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: words of each source as its target says."""
+    settings(spark)
     return mixing.mixed_documents(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: pieces of documents and their places in sequences."""
+    settings(spark)
     return packing.pack(docs)
 
 
@@ -43,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sequences", sequences),
 ]
 
-#: Language models, components and packing plans are beyond SQL; the stages are tested against brute force.
+#: Language models, components and packing plans are beyond SQL; tests compare the stages with plain versions of them.
 ORACLE_SQL = None
 
 
