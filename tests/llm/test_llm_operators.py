@@ -1,9 +1,11 @@
 """Each operator against brute force, a round trip or planted cases, with nulls, empty and long texts, ties and extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import struct
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -291,10 +293,28 @@ def test_pages(spark):
 
 
 def test_licenses(spark):
-    mit = "Copyright (c) 2020 Somebody\n" + licenses.TEXTS["MIT"].replace("license", "licence").upper()
-    texts = [mit, "prose\nReleased under the MIT Licence!\nprose", "no license here", None, "", licenses.NOTICES["Apache-2.0"]]
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n" + licenses.TEXTS["MIT"].replace("license", "licence").upper()
+    texts = [mit, "prose\nReleased under the MIT Licence!\nprose", "no license here", None, "", licenses.NOTICES[-1][1], "MIT License", "// SPDX-License-Identifier: BSD-3-Clause\nint x;", "x " * 50_000]
+    want = {(0, "MIT", "text", 1), (1, "MIT", "notice", 1), (5, "Apache-2.0", "notice", 1), (7, "BSD-3-Clause", "notice", 1)}
+    for width in (50, 61, 62, 70, 80, 81, 82):
+        for k, body in licenses.TEXTS.items():
+            lines = "\n\n".join(textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for part in body.split("\n\n") for x in part.split("\n"))
+            want.add((len(texts), k, "text", 1))
+            texts.append(f"Copyright 1999-2003 A. Uthor <a@b.c>\nCopyright © 2004 B\nAll rights reserved.\n\n{lines}\n")
     found = {(r.doc_id, r.licence, r.scope, r.n_found) for r in licenses.scan(frame(spark, texts)).collect()}
-    assert found == {(0, "MIT", "text", 1), (1, "MIT", "notice", 1), (5, "Apache-2.0", "notice", 1)}
+    assert found == want
+    own = [licenses.known_text("House", "text", "Ask before you copy this.")]
+    found = licenses.scan(frame(spark, ["ask: before YOU copy this", mit]), own).collect()
+    assert [(r.doc_id, r.licence) for r in found] == [(0, "House")]
+    assert licenses.scan(frame(spark, [mit]), []).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0"])
+def test_digests_of_long_licences(name):
+    text = open(f"/usr/share/common-licenses/{name}", encoding="utf-8").read()
+    digests = {k: d for k, (d, _) in licenses.DIGESTS.items()}
+    assert licenses.known_text("x", "text", text).digest == digests.get(name, digests.get(f"{name}.0"))
 
 
 def test_template_language():
