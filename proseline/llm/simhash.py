@@ -169,30 +169,54 @@ def met(cells: DataFrame, order: Column) -> DataFrame:
     return found.groupBy(F.col("node").alias("a"), "b").agg(F.max("n").alias("n"))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(a, b): links between nodes whose texts have a Jaccard similarity of `least` or more over shingles.
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of pairs (a, b, n) whose nodes aren't joined yet."""
+    many = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    own = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a")
+    own = split_join(own, roots.select(F.col("node").alias("b"), F.col("root").alias("_rb")), ["b"], many)
+    return own.where("_ra <> _rb").select("a", "b", "n")
+
+
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots (node, root) after the nodes of each edge (a, b) are joined."""
+    over = edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a").join(
+        roots.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b"
+    )
+    up = components(over.select(F.col("_ra").alias("a"), F.col("_rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("_up"))
+    return cut(roots.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root")))
+
+
+def joined_by_similarity(docs: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int, least: float) -> DataFrame:
+    """roots (node, root) after nodes whose texts have a Jaccard similarity of `least` or more over shingles are joined.
 
     nodes has node, the keys of its row of docs (doc_id, _t) and bands. Nodes meet in the cells of single bands, and each
-    is verified there against one node of the cell, on whole sets of shingles. Where a cell of more than two has a node
-    that isn't similar to the one it was compared with, all nodes compared with that one meet again in the cells of every
-    two bands, each time with another node, as a hash has it: unrelated documents that share a long passage part there.
+    is verified against the first node there, on whole sets of shingles; what is joined already needn't be. Where a cell
+    of more than two has a node that isn't similar to the first, all nodes that met that one meet again in the cells of
+    every two bands, one of each group that is joined by then, with a first one that a hash draws: so unrelated documents
+    that share a long passage part from each other, and none of them stands between two similar ones.
     """
     seeds = F.col("bands")
-    single = nodes.select("node", F.explode("bands").alias("cell"))
-    pairs = cut(met(single, F.col("node")))
+    pairs = cut(met(nodes.select("node", F.explode("bands").alias("cell")), F.col("node")))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = nodes.select("node", "doc_id", "_t").join(asked, "node", "left_semi")
     texts = docs.select("doc_id", "_t", "text").join(asked, ["doc_id", "_t"]).dropDuplicates(["doc_id", "_t"])
     sets = cut(shingle_sets(texts, shingle))
-    first = cut(verified(pairs, sets, least))
-    failed = first.where("not similar and n > 2").select("b").distinct()
-    again = first.join(failed, "b", "left_semi").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # one pair a node first: of a large group of near copies, that leaves few to verify
+    single = pairs.groupBy("a").agg(F.min("b").alias("b"), F.min_by("n", "b").alias("n"))
+    first = cut(verified(apart(single, roots), sets, least))
+    roots = merged(roots, first.where("similar").select("a", "b"))
+    rest = pairs.join(single.select("a", "b"), ["a", "b"], "left_anti")
+    second = cut(verified(apart(rest, roots), sets, least))
+    roots = merged(roots, second.where("similar").select("a", "b"))
+    done = first.unionByName(second)
+    failed = done.where("not similar and n > 2").select("b").distinct()
+    again = pairs.join(failed, "b", "left_semi").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     two = F.flatten(F.transform(F.sequence(F.lit(0), F.size(seeds) - 2), lambda i: F.transform(
         F.sequence(i + 1, F.size(seeds) - 1), lambda j: F.xxhash64(i, j, F.get(seeds, i), F.get(seeds, j)))))
-    double = nodes.where(F.size(seeds) > 1).join(again, "node", "left_semi").select("node", F.explode(two).alias("cell"))
-    more = met(double, F.xxhash64("cell", "node")).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = verified(more, sets, least)
-    return first.where("similar").select("a", "b").unionByName(second.where("similar").select("a", "b"))
+    double = nodes.where(F.size(seeds) > 1).join(again, "node", "left_semi").join(roots, "node").select("node", "root", F.explode(two).alias("cell"))
+    double = double.groupBy("cell", "root").agg(F.min_by("node", F.xxhash64("cell", "node")).alias("node")).select("cell", "node")
+    more = met(double, F.xxhash64("cell", "node")).join(done.select("a", "b"), ["a", "b"], "left_anti")
+    return merged(roots, verified(more, sets, least).where("similar").select("a", "b"))
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -237,12 +261,13 @@ def keep_first(docs: DataFrame, shingle: int = 3, similar: float | None = 0.8, s
     docs = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
     prints = cut(fingerprints(docs.where("doc_id is not null"), shingle, ("doc_id", "_t"), bands if similar is not None else 0, similar_shingle))
     found = classes(prints, F.min(F.struct("doc_id", "_t", "fp")))
-    edges = class_links(found)
+    joined = cut(rooted(found, class_links(found)))
     if similar is not None:
         own = found.select(F.col("fp").alias("node"), "first.doc_id", "first._t")
         nodes = cut(own.join(prints.select("doc_id", "_t", "bands"), ["doc_id", "_t"]).dropDuplicates(["doc_id", "_t"]))
-        edges = edges.unionByName(similar_links(docs, nodes, similar_shingle, similar))
-    kept = rooted(found, edges).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+        roots = joined_by_similarity(docs, nodes, joined.select(F.col("fp").alias("node"), "root"), similar_shingle, similar)
+        joined = found.join(roots.withColumnRenamed("node", "fp"), "fp")
+    kept = joined.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     kept = docs.join(kept.select("doc_id", "_t"), ["doc_id", "_t"], "left_semi")
     rest = [c for c in docs.columns if c not in ("doc_id", "_t")]
     kept = kept.groupBy("doc_id", "_t").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row"))
