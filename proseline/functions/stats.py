@@ -13,37 +13,39 @@ def pooled(hits: Column, words: Column) -> Column:
     return F.when(F.sum(words) > 0, 1000 * F.sum(hits) / F.sum(words)).otherwise(0.0)
 
 
-def ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Rows with a value, with _at (from 0 in order of value) and _n, within each group of `by`."""
+def counted(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """The distinct values of each group of `by`, with how often they occur (_c), rows up to them (_end) and in all (_n).
+
+    Rows are counted by value before they are shuffled, so what is sorted is distinct values and not rows.
+    """
     own = Window.partitionBy(*by)
-    return df.where(F.col(value).isNotNull()).withColumns(
-        {"_at": F.row_number().over(own.orderBy(value)) - 1, "_n": F.count("*").over(own)}
-    )
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    return counts.withColumns({"_end": F.sum("_c").over(own.orderBy(value)), "_n": F.sum("_c").over(own)})
 
 
 def nearest(value: str, point: float) -> Column:
-    """Of ranked rows in a group: the value at place floor(point * n), the last at most."""
+    """Of counted values in a group: the value at place floor(point * n) of the rows in order, the last at most."""
     at = F.least(F.floor(F.lit(point) * F.col("_n")), F.col("_n") - 1)
-    return F.max(F.when(F.col("_at") == at, F.col(value)))
+    return F.max(F.when((at < F.col("_end")) & (at >= F.col("_end") - F.col("_c")), F.col(value)))
 
 
 def percentiles(df: DataFrame, value: str, by: list[str], points: tuple[float, ...] = POINTS) -> DataFrame:
     """by, n and p10 ... of value in each group; groups without a value have none."""
     return (
-        ranked(df, value, by)
+        counted(df, value, by)
         .groupBy(*by)
-        .agg(F.count("*").alias("n"), *[nearest(value, p).alias(f"p{int(p * 100)}") for p in points])
+        .agg(F.sum("_c").alias("n"), *[nearest(value, p).alias(f"p{int(p * 100)}") for p in points])
     )
 
 
 def summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """by, n, mean, median (the upper of two), q1 and q3 of value in each group."""
     return (
-        ranked(df, value, by)
+        counted(df, value, by)
         .groupBy(*by)
         .agg(
-            F.count("*").alias("n"),
-            F.avg(value).alias("mean"),
+            F.sum("_c").alias("n"),
+            (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"),
             nearest(value, 0.5).alias("median"),
             nearest(value, 0.25).alias("q1"),
             nearest(value, 0.75).alias("q3"),

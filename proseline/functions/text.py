@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,9 +65,15 @@ def n_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN)).cast("bigint")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that it names several times: as a lambda's variable it is found once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def opener(text: Column, n: int = 5) -> Column:
-    """The first n tokens in lower case."""
-    return F.lower(F.array_join(F.slice(tokens(text), 1, n), " "))
+    """The first n tokens in lower case. The text is read up to the nth token only."""
+    head = F.regexp_extract(text, rf"^(?:[^\p{{L}}\p{{N}}_]*{TOKEN}){{1,{n}}}", 0)
+    return F.lower(F.array_join(tokens(head), " "))
 
 
 def stripped(text: Column) -> Column:
@@ -83,11 +93,17 @@ def paragraph_lengths(text: Column) -> Column:
 
 def spread(values: Column) -> Column:
     """Population standard deviation of an array; null for fewer than two values."""
-    n = F.size(values)
-    total = F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    squares = F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x * x)
-    # in whole numbers up to the division, so that equal lengths have no spread at all
-    return F.when(n > 1, F.sqrt((squares * n - total * total).cast("double")) / n)
+
+    def of(x: Column) -> Column:
+        n, zero = F.size(x), F.lit(0).cast("bigint")
+        sums = F.aggregate(
+            x, F.struct(zero.alias("total"), zero.alias("squares")),
+            lambda a, v: F.struct((a["total"] + v).alias("total"), (a["squares"] + v * v).alias("squares")),
+        )
+        # in whole numbers up to the division, so that equal lengths have no spread at all
+        return once(sums, lambda a: F.when(n > 1, F.sqrt((a["squares"] * n - a["total"] * a["total"]).cast("double")) / n))
+
+    return once(values, of)
 
 
 def burstiness(text: Column) -> Column:
@@ -102,12 +118,53 @@ def hits(text: Column, pattern: str, multiline: bool = True) -> Column:
     return F.regexp_count(text, F.lit(("(?m)" if multiline else "") + FLAGS + pattern)).cast("bigint")
 
 
+#: What a text must have somewhere, case folded, for a pattern to be found at all; patterns that aren't here always run.
+NEEDED = {
+    "finds_you_well": ("finds you",),
+    "reach_out": ("reach",),
+    "circle_back": ("circl", "touch base", "following up on my"),
+    "not_just_but": ("not just ", "s not "),
+    "delve": ("delv",),
+    "tapestry_testament": ("tapestry", "testament to", "underscore", "pivotal"),
+    "thrilled_excited": ("ed to ",),
+    "elevate_seamless": ("elevate", "seamless", "streamline", "leverage", "robust", "chang"),
+    "dont_hesitate": ("t hesitate",),
+    "let_that_sink": ("let that sink in", "read that again", "agree?"),
+    "signoff": ("regards", "sincerely", "best,"),
+    "em_dash": ("—",),
+    "en_dash": ("–",),
+    "ascii_double_dash": ("--",),
+    "spaced_hyphen": ("-",),
+    "any_dash": ("—", "–", "-"),
+    "rule_of_three": ("ing,",),
+    "as_an_ai": ("as an ai",),
+    "apology": ("i apologize", "sorry for", "apologies"),
+}
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the letters that patterns which ignore case take for s, i and k as these."""
+    return F.lower(F.translate(text, "ſİıK", "siik"))
+
+
+def _guarded(text: Column, patterns: dict[str, str], multiline: bool) -> dict[str, Column]:
+    out, low = {}, folded(text)
+    for name, pattern in patterns.items():
+        found = hits(text, pattern, multiline)
+        if needed := NEEDED.get(name):
+            # a plain search is far cheaper than a pattern that ignores case, and most texts have few of the phrases
+            may = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in needed])
+            found = F.when(text.isNull(), None).when(may, found).otherwise(F.lit(0).cast("bigint"))
+        out[name] = found
+    return out
+
+
 def tell_hits(text: Column) -> dict[str, Column]:
-    return {name: hits(text, pattern) for name, pattern in TELLS.items()}
+    return _guarded(text, TELLS, True)
 
 
 def dash_hits(text: Column) -> dict[str, Column]:
-    return {name: hits(text, pattern, False) for name, pattern in DASHES.items()}
+    return _guarded(text, DASHES, False)
 
 
 def intent(text: Column) -> Column:
@@ -164,6 +221,45 @@ def domain_of(scenario: Column) -> Column:
     return F.when(first.isin("email", "slack", "essay", "social"), first)
 
 
-def mode(name: Column) -> Column:
-    """A board's name: what isn't a-z is dropped."""
-    return F.regexp_replace(name, "[^a-z]", "")
+def mode(name: Column, default: str = "reply") -> Column:
+    """A board's name: what isn't a-z is dropped; where nothing is left or given, the default."""
+    return F.coalesce(F.nullif(F.regexp_replace(name, "[^a-z]", ""), F.lit("")), F.lit(default))
+
+
+def browser_hash(signature: Column) -> Column:
+    """A signature's 32-bit hash, 31 h + c over its UTF-16 units, in base 36."""
+    units = F.filter(F.transform(F.split(F.hex(F.encode(signature, "UTF-16BE")), "(?<=\\G.{4})"), lambda x: F.conv(x, 16, 10).cast("bigint")), lambda x: x.isNotNull())
+    total = F.aggregate(units, F.lit(0).cast("bigint"), lambda h, c: F.pmod(h * 31 + c, F.lit(1 << 32)))
+    return F.lower(F.conv(total.cast("string"), 10, 36))
+
+
+def mini_markdown(text: Column) -> Column:
+    """HTML of a text: & < > escaped, **bold**, *italic* and `code` marked up; a null text is empty."""
+    out = F.coalesce(text, F.lit(""))
+    for plain, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(plain), F.lit(reference))
+    out = F.regexp_replace(out, r"\*\*([^*]+)\*\*", "<b>$1</b>")
+    out = F.regexp_replace(out, r"(^|[^*])\*([^*\n]+)\*(?!\*)", "$1<i>$2</i>")
+    return F.regexp_replace(out, "`([^`]+)`", "<code>$1</code>")
+
+
+def ago(t: Column, now: Column) -> Column:
+    """How long before now (both in milliseconds) t is, in seconds, minutes or hours."""
+    half_up = lambda x: F.floor(x + 0.5).cast("bigint")
+    seconds = F.greatest(F.lit(0).cast("bigint"), half_up((now - t) / 1000))
+    minutes = half_up(seconds / 60)
+    label = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    return F.when(seconds < 60, label(seconds, "s")).when(minutes < 60, label(minutes, "m")).otherwise(label(half_up(minutes / 60), "h"))
+
+
+def flag(country: Column) -> Column:
+    """The flag of a two-letter country code as an emoji, a globe for anything else."""
+    # a letter's regional indicator is 127397 above it, in UTF-8 F0 9F 87 A6 for A
+    letter = lambda i: F.decode(F.unhex(F.concat(F.lit("F09F87"), F.hex(F.ascii(F.substring(country, i, 1)) + 101))), "UTF-8")
+    return F.when(F.regexp_like(country, F.lit("^[A-Z]{2}$")), F.concat(letter(1), letter(2))).otherwise("🌐")
+
+
+def marker_score(rate: Column, median: Column, cap: float = 20.0) -> Column:
+    """0 at the human median rate or below, 100 at cap times it, on a logarithmic scale between; null without a median above 0."""
+    ratio = rate / F.when(median > 0, median)
+    return F.when(ratio <= 1, 0.0).when(ratio > 1, F.least(F.lit(100.0), 100 * F.log(ratio) / math.log(cap)))

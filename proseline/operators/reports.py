@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseline.functions import stats, text as T
+from proseline.functions.python import mtld
+from proseline.operators import resample
 
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 
@@ -47,6 +51,32 @@ def with_prices(bench: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
+def with_names(bench: DataFrame, names: DataFrame) -> DataFrame:
+    """bench with each model's name and lab (names: model, name, lab); its own name, and no lab, where it isn't known."""
+    joined = bench.join(F.broadcast(names), "model", "left")
+    return joined.withColumns({"name": F.coalesce("name", "model"), "lab": F.coalesce("lab", F.lit(""))})
+
+
+def highlights(scored: DataFrame, cheap: float = 3.0) -> DataFrame:
+    """One row of (model, score, blended): the best and the worst model, the priciest, and the best of those up to a price.
+
+    A higher score is better; ties go to the first name. Models without a price are neither priciest nor cheap.
+    """
+    first = lambda order, when: F.min_by("model", F.when(when, F.struct(order, F.col("model"))))
+    low, rated, priced = F.col("score"), F.col("score").isNotNull(), F.col("blended").isNotNull()
+    return scored.agg(
+        first(-low, rated).alias("best"),
+        F.max_by("model", F.when(rated, F.struct(-low, F.col("model")))).alias("worst"),
+        first(-F.col("blended"), priced).alias("priciest"),
+        first(-low, rated & (F.col("blended") <= cheap)).alias("best_cheap"),
+    )
+
+
+def price_axis(scored: DataFrame) -> DataFrame:
+    """model, x and y: the logarithm to ten of the blended price against the score, of models that have a price."""
+    return scored.where("blended is not null").select("model", F.log10("blended").alias("x"), F.col("score").alias("y"))
+
+
 def manual_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     return (tokens_in * price_in + tokens_out * price_out) / 1_000_000
 
@@ -115,6 +145,41 @@ def validated_everywhere(verdicts: DataFrame) -> DataFrame:
     return good.join(F.broadcast(domains), F.col("n") == F.col("all")).select("tell")
 
 
+def dash_table(by_model: DataFrame, human: DataFrame) -> DataFrame:
+    """(domain, model, form, hits, words) against (domain, form, human_rate): domain, form, human_rate, model and rate.
+
+    Rates are pooled, for 1000 words; verdict says whether the model has the form more often than people, less, or as often.
+    """
+    pooled = by_model.groupBy("domain", "model", "form").agg((1000 * F.sum("hits") / F.greatest(F.sum("words"), F.lit(1))).alias("rate"))
+    found = pooled.join(F.broadcast(human), ["domain", "form"], "left").withColumn("human_rate", F.coalesce("human_rate", F.lit(0.0)))
+    verdict = F.when(F.col("rate") > F.col("human_rate"), "above").when(F.col("rate") < F.col("human_rate"), "below").otherwise("equal")
+    return found.select("domain", "form", "human_rate", "model", "rate", verdict.alias("verdict"))
+
+
+def synthesis(verdicts: DataFrame, bands: DataFrame, lexical: DataFrame) -> DataFrame:
+    """One report over all domains, as (section, domain, finding, value) rows.
+
+    tells: each domain's validated and busted tells, and (domain null) those validated in all. bands: flags of the hand-set
+    lengths, or consistent. diversity: whether all, some or no models score above people. flattening: how many models'
+    paragraphs are more even than people's; unknown where people's have no spread.
+    """
+    tells = verdicts.where("verdict in ('validated', 'busted')").groupBy("domain", "verdict").agg(F.sort_array(F.collect_set("tell")).alias("t"))
+    row = lambda section, domain, finding, value: [
+        F.lit(section).alias("section"), domain.alias("domain"), finding.alias("finding"), value.alias("value")
+    ]
+    lists = tells.select(*row("tells", F.col("domain"), F.col("verdict"), F.array_join("t", ", ")))
+    everywhere = validated_everywhere(verdicts).agg(F.array_join(F.sort_array(F.collect_set("tell")), ", ").alias("t"))
+    common = everywhere.select(*row("tells", F.lit(None).cast("string"), F.lit("validated in all"), F.col("t")))
+    flags = [F.when(F.col(c), F.lit(c)) for c in ("floor_too_low", "ceiling_too_high", "ceiling_too_low")]
+    named = F.array_join(F.array_compact(F.array(*flags)), ", ")
+    lengths = bands.select(*row("bands", F.col("domain"), F.lit("flags"), F.when(named == "", "consistent").otherwise(named)))
+    above = F.when(F.col("models") == 0, "none").when(F.col("above_mtld") == F.col("models"), "all").when(F.col("above_mtld") > 0, "some").otherwise("none")
+    diversity = lexical.where("human_mtld is not null").select(*row("diversity", F.col("domain"), F.lit("models above people"), above))
+    flat = F.when(F.col("human_spread").isNull(), "unknown").otherwise(F.concat_ws("/", F.col("below_spread").cast("string"), F.col("spread_models").cast("string")))
+    flattening = lexical.select(*row("flattening", F.col("domain"), F.lit("models below people"), flat))
+    return reduce(DataFrame.unionByName, [lists, common, lengths, diversity, flattening])
+
+
 def band_check(bands: DataFrame, lengths: DataFrame) -> DataFrame:
     """Hand-set bands (domain, lo, hi) against human lengths (domain, p10, p75, p90): ranges and three flags."""
     ranges = bands.groupBy("domain").agg(
@@ -134,6 +199,7 @@ def lexical_comparison(models: DataFrame, human: DataFrame) -> DataFrame:
     return joined.groupBy("domain", "human_mtld", "human_spread").agg(
         F.count("mtld").alias("models"),
         F.coalesce(F.sum((F.col("mtld") > F.col("human_mtld")).cast("bigint")), F.lit(0)).alias("above_mtld"),
+        F.count("para_spread").alias("spread_models"),
         F.coalesce(F.sum((F.col("para_spread") < F.col("human_spread")).cast("bigint")), F.lit(0)).alias("below_spread"),
     )
 
@@ -164,6 +230,63 @@ def false_positives(human: DataFrame) -> DataFrame:
     )
 
 
+# Fields of the detector's answer that a gate looks at.
+DETECTOR_FIELDS = ("ai_likelihood", "fraction_ai", "fraction_ai_assisted", "fraction_human", "avg_ai_likelihood", "max_ai_likelihood")
+
+
+def gate_measures(outputs: DataFrame) -> DataFrame:
+    """(kind, metric, model, place, value): everything by which a run's models may be told apart, a row a value.
+
+    outputs has model, domain, scenario, text, band_hi, place (the order of rows) and, where a detector answered, pangram.
+    kind is detector or mechanical. Repetition has a value a scenario, the other metrics one a text; nulls are left out.
+    """
+    n = T.n_tokens(F.col("text"))
+    inflation = F.when(F.col("band_hi") > 0, F.greatest(F.lit(0.0), n / F.col("band_hi") - 1))
+    metric = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), name.alias("metric"), value.cast("double").alias("value"))
+    found = [
+        metric("mechanical", F.lit("words"), n),
+        metric("mechanical", F.lit("lexical diversity"), mtld(F.col("text"))),
+        metric("mechanical", F.lit("burstiness"), T.burstiness(F.col("text"))),
+        metric("mechanical", F.lit("paragraph spread"), T.paragraph_spread(F.col("text"))),
+        metric("mechanical", F.lit("length inflation (overall)"), inflation),
+        metric("mechanical", F.concat(F.lit("length inflation ("), "domain", F.lit(")")), inflation),
+    ]
+    if "pangram" in outputs.columns:
+        windows = F.array_min(F.filter("pangram.window_scores", lambda x: x.isNotNull()))
+        likely = F.col("pangram.ai_likelihood")
+        found += [metric("detector", F.lit(f), F.col(f"pangram.{f}")) for f in DETECTOR_FIELDS]
+        found += [metric("detector", F.lit("min_window"), windows)]
+        found += [metric("detector", F.lit("flagged_rate"), F.when(likely.isNotNull(), (likely >= 0.5).cast("double")))]
+    each = outputs.select("model", "place", F.explode(F.array(*found)).alias("m")).select("m.kind", "m.metric", "model", "place", "m.value")
+    counts = outputs.groupBy("model", "scenario", T.opener(F.col("text")).alias("opener")).agg(F.count("*").alias("k"), F.min("place").alias("place"))
+    repeats = counts.groupBy("model", "scenario").agg((F.max("k") / F.sum("k")).alias("value"), F.min("place").alias("place"), F.sum("k").alias("n"))
+    repeats = repeats.where("n >= 2").select(F.lit("mechanical").alias("kind"), F.lit("opener repetition").alias("metric"), "model", "place", "value")
+    return each.where("value is not null").unionByName(repeats)
+
+
+def go_no_go(outputs: DataFrame, draws: int = 2000) -> DataFrame:
+    """kind, metric, lowest, highest, difference, apart and verdict: whether a run's models can be told apart, and by what.
+
+    A metric's models are apart where the bootstrap intervals of the lowest and highest mean don't meet. The verdict is the
+    run's: go if some detector field sets models apart, no-go if none does, incomplete without a detector.
+    """
+    values = gate_measures(outputs).withColumn("cell", F.concat_ws("\x1f", "kind", "metric", "model"))
+    means = resample.intervals(values, "cell", "value", ["place"], draws).withColumn("_key", F.split("cell", "\x1f"))
+    named = means.select(F.col("_key")[0].alias("kind"), F.col("_key")[1].alias("metric"), F.col("_key")[2].alias("model"), "mean", "lo", "hi")
+    found = resample.separation(named.where("mean is not null"), ["kind", "metric"])
+    apart = F.max(F.when(F.col("kind") == "detector", F.coalesce(F.col("apart"), F.lit(False)).cast("int")))
+    verdict = found.agg(F.when(apart == 1, "go").when(apart == 0, "no-go").otherwise("incomplete").alias("verdict"))
+    return found.join(F.broadcast(verdict))
+
+
+def length_correlations(outputs: DataFrame, fields: tuple[str, ...] = ("ai_likelihood", "fraction_ai", "fraction_human")) -> DataFrame:
+    """(field, r, artifact): how a detector's fields go with the number of words; beyond 0.4 either way it may be length."""
+    n = T.n_tokens(F.col("text")).cast("double")
+    cells = outputs.select(n.alias("n"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"pangram.{f}").cast("double").alias("v")) for f in fields])).alias("x"))
+    found = cells.groupBy("x.field").agg(stats.pearson(F.col("n"), F.col("x.v")).alias("r"))
+    return found.withColumn("artifact", F.coalesce(F.abs("r") > 0.4, F.lit(False)))
+
+
 def corpus_profile(rows: DataFrame, by: list[str]) -> dict[str, DataFrame]:
     """Lengths, tells, dashes, rhythm, spread and intents of a corpus (by, text), a table each, all native."""
     n = T.n_tokens(F.col("text"))
@@ -183,3 +306,41 @@ def corpus_profile(rows: DataFrame, by: list[str]) -> dict[str, DataFrame]:
         "spread": stats.summary(measured.select(*by, T.paragraph_spread(F.col("text")).alias("spread")), "spread", by),
         "intents": stats.percentiles(measured.withColumn("intent", T.intent(F.col("text"))), "n_words", [*by, "intent"]),
     }
+
+
+#: Characters by which a benchmark item is looked for, and heads up to which they are broadcast.
+HEAD, FEW_HEADS = 20, 1_000_000
+#: Characters of a text whose places are looked at together.
+PART = 512
+
+
+def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id and items: how many items of a benchmark (item_id, text) a document holds whole, as normalised texts.
+
+    An item is found by its first HEAD characters (all of it, if it is shorter) and then compared whole. Of a document only
+    the places whose head some item has are shuffled, where the items' heads are few enough to broadcast; their number is
+    counted first. Items without any letter or digit are in no document.
+    """
+    items = benchmark.select("item_id", T.normalised(F.col("text")).alias("t")).where("t <> ''")
+    items = items.withColumns({"size": F.least(F.length("t"), F.lit(HEAD)), "head": F.xxhash64(F.substring("t", 1, HEAD))})
+    heads = items.select("head").distinct()
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # HEAD at most
+    own = docs.where("text is not null").select("doc_id", T.normalised(F.col("text")).alias("d"))
+    if not sizes:
+        return own.groupBy("doc_id").agg(F.count("*").alias("items")).limit(0)
+
+    def heads_of(part: Column, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(part) - n + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.xxhash64(F.substr(part, i, F.lit(n))))
+
+    def starts(d: Column) -> Column:
+        # a place in a string is found from its beginning, so long texts are taken in parts that overlap
+        at = F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1)), F.lit(PART))
+        parts = F.transform(at, lambda i: F.substr(d, i, F.lit(PART + HEAD - 1)))
+        return F.array_distinct(F.flatten(F.transform(parts, lambda x: F.concat(*[heads_of(x, n) for n in sizes]))))
+
+    places = own.select("doc_id", F.explode(T.once(F.col("d"), starts)).alias("head"))
+    few = heads.count() <= FEW_HEADS
+    near = places.join(F.broadcast(heads) if few else heads, "head", "left_semi")
+    found = near.join(items, "head").select("doc_id", "item_id", "t").distinct().join(own, "doc_id")
+    return found.where(F.contains("d", "t")).groupBy("doc_id").agg(F.count_distinct("item_id").alias("items"))

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import random
+from array import array
 from collections import Counter
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from proseline.operators import scoring
+from proseline.operators.folds import fold
 
 
-def interval_of_mean(values: list[float], draws: int = 2000, seed: int = 7) -> tuple[float | None, float | None, float | None]:
+def interval_of_mean(values: Sequence[float], draws: int = 2000, seed: int = 7) -> tuple[float | None, float | None, float | None]:
     """Mean and 95 % bootstrap interval of values in their order; Nones for fewer than two."""
     if len(values) < 2:
         return None, None, None
@@ -21,22 +24,32 @@ def interval_of_mean(values: list[float], draws: int = 2000, seed: int = 7) -> t
     return sum(values) / n, means[int(0.025 * draws)], means[int(0.975 * draws)]
 
 
-def intervals(df: DataFrame, group: str, value: str, order: list[str], draws: int = 2000) -> DataFrame:
-    """group, mean, lo, hi. A group's values are resampled together in file order, so a group has to fit a task."""
+class Mean:
+    """A group's values as they come, and at the end their mean and its interval."""
+
+    def __init__(self, key: object, draws: int):
+        self.key, self.draws, self.values = key, draws, array("d")
+
+    def add(self, row: tuple) -> tuple:
+        self.values.append(row[0])
+        return ()
 
-    def run(found: pd.DataFrame) -> pd.DataFrame:
-        own = found.sort_values(order)
-        mean, lo, hi = interval_of_mean(own[value].tolist(), draws)
-        return pd.DataFrame({group: [own[group].iloc[0]], "mean": [mean], "lo": [lo], "hi": [hi]})
+    def end(self) -> list[tuple]:
+        return [(self.key, *interval_of_mean(self.values, self.draws))]
 
+
+def intervals(df: DataFrame, group: str, value: str, order: list[str], draws: int = 2000) -> DataFrame:
+    """group, mean, lo, hi. A group's values are resampled together in their order: what a task holds is one group's numbers."""
     kind = df.schema[group].dataType.simpleString()
-    rows = df.where(F.col(value).isNotNull()).select(group, value, *[c for c in order if c not in (group, value)])
-    return rows.groupBy(group).applyInPandas(run, f"{group} {kind}, mean double, lo double, hi double")
+    rows = df.where(F.col(value).isNotNull()).withColumn("_value", F.col(value).cast("double"))
+    out = StructType.fromDDL(f"{group} {kind}, mean double, lo double, hi double")
+    return fold(rows, group, [c for c in order if c != group], ["_value"], lambda k: Mean(k, draws), out)
 
 
-def separation(found: DataFrame) -> DataFrame:
-    """One row: the groups of lowest and highest mean, the difference, and whether their intervals are apart."""
-    return found.agg(
+def separation(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Of each group of `by` (one row without): the models of lowest and highest mean, the difference, and whether their
+    intervals are apart."""
+    return found.groupBy(*(by or [])).agg(
         F.min_by("model", F.struct("mean", "model")).alias("lowest"),
         F.max_by("model", F.struct("mean", "model")).alias("highest"),
         (F.max("mean") - F.min("mean")).alias("difference"),
@@ -44,7 +57,7 @@ def separation(found: DataFrame) -> DataFrame:
     )
 
 
-def scenario_draws(spark: SparkSession, scenarios: dict[str, list[str]], replicates: int = 500, seed: int = 42) -> DataFrame:
+def draw_rows(scenarios: dict[str, list[str]], replicates: int = 500, seed: int = 42) -> list[tuple[int, str, str, int]]:
     """(rep, domain, scenario, k): how often each scenario is drawn in each replicate, domains and scenarios in order."""
     draw, rows = random.Random(seed), []
     for rep in range(replicates):
@@ -52,10 +65,15 @@ def scenario_draws(spark: SparkSession, scenarios: dict[str, list[str]], replica
             own = sorted(scenarios[domain])
             for scenario, k in Counter(draw.choice(own) for _ in own).items():
                 rows.append((rep, domain, scenario, k))
-    return spark.createDataFrame(rows, "rep int, domain string, scenario string, k int")
+    return rows
 
 
-def rank_spread(sums: DataFrame, human: DataFrame, draws: DataFrame, replicates: int = 500) -> DataFrame:
+def scenario_draws(spark: SparkSession, scenarios: dict[str, list[str]], replicates: int = 500, seed: int = 42) -> DataFrame:
+    """draw_rows as a table."""
+    return spark.createDataFrame(draw_rows(scenarios, replicates, seed), "rep int, domain string, scenario string, k int")
+
+
+def rank_spread(sums: DataFrame, human: DataFrame, draws: DataFrame) -> DataFrame:
     """model, best and worst: the 95 % interval of its rank over replicates (1 is the highest score).
 
     The replicates' weights meet the sums of scenarios, not the texts; a domain none of whose drawn scenarios a model has
@@ -64,7 +82,8 @@ def rank_spread(sums: DataFrame, human: DataFrame, draws: DataFrame, replicates:
     drawn = sums.join(F.broadcast(draws), ["domain", "scenario"])
     scores = scoring.axes(drawn, human, ("rep", "model", "domain"), F.col("k"))
     overall = scores.withColumn("c", scoring.composite()).groupBy("rep", "model").agg(F.avg("c").alias("score")).where("score is not null")
-    ranks = overall.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "model")))
+    # sums of floats depend on their order in the last digits, which shouldn't decide a place
+    ranks = overall.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc(F.round("score", 9)), "model")))
     own = Window.partitionBy("model").orderBy("place", "rep")
     placed = ranks.withColumns({"_at": F.row_number().over(own) - 1, "_n": F.count("*").over(Window.partitionBy("model"))})
     at = lambda p: F.max(F.when(F.col("_at") == F.floor(F.lit(p) * F.col("_n")), F.col("place")))
@@ -88,8 +107,16 @@ def tie_groups(spreads: DataFrame) -> DataFrame:
 
 
 def sample_by_hash(df: DataFrame, k: int, key: str, seed: int = 20260114) -> DataFrame:
-    """k rows by order of a seeded hash of key, in key's order."""
-    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(k).orderBy(key)
+    """k rows by order of a seeded hash of key, in key's order.
+
+    Rows whose hash is so high that k others come before it are left out before anything is sorted: the bound lies ten
+    standard deviations and a hundred rows above the kth of evenly spread hashes.
+    """
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    n = df.count()
+    share = (k + 10 * k**0.5 + 100) / max(n, 1)
+    near = df.where(place < f"{int(share * (1 << 32)):08x}") if share < 1 else df
+    return near.orderBy(place, key).limit(k).orderBy(key)
 
 
 def sample_exact(df: DataFrame, k: int, position: str, seed: int = 20260114) -> DataFrame:

@@ -23,6 +23,17 @@ def admitted(outputs: DataFrame) -> DataFrame:
     return outputs.where(ok & (F.coalesce(F.col("error"), F.lit("")) == "") if "error" in outputs.columns else ok)
 
 
+def of_kind(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of people's or of models' texts; a row without kind is a model's."""
+    return rows.where(F.coalesce(F.col("kind"), F.lit("model")) == kind)
+
+
+def both_kinds(outputs: DataFrame, human: DataFrame) -> DataFrame:
+    """Models' and people's texts in one table, told apart by kind; columns that one side lacks are null there."""
+    tagged = [df.drop("kind").withColumn("kind", F.lit(k)) for df, k in ((outputs, "model"), (human, "human"))]
+    return tagged[0].unionByName(tagged[1], allowMissingColumns=True)
+
+
 def row_measures(outputs: DataFrame) -> DataFrame:
     """model, domain, scenario, n_words, inflation (null without a band), opener, para_spread and hits by tell.
 
@@ -60,7 +71,7 @@ def scenario_sums(measures: DataFrame) -> DataFrame:
 
 
 def human_profile(human: DataFrame) -> DataFrame:
-    """domain, human_spread and human_<tell> (pooled hits for 1000 words) of human texts (domain, text)."""
+    """domain, human_spread and human_<tell> (pooled hits for 1000 words) of human texts (domain, text); null without words."""
     n = T.n_tokens(F.col("text"))
     rows = human.select(
         "domain",
@@ -68,7 +79,7 @@ def human_profile(human: DataFrame) -> DataFrame:
         T.paragraph_spread(F.col("text")).alias("spread"),
         *[c.alias(f"hits_{name}") for name, c in T.tell_hits(F.col("text")).items()],
     )
-    pooled = lambda t: 1000 * F.sum(f"hits_{t}") / F.sum("n_words")
+    pooled = lambda t: 1000 * F.sum(f"hits_{t}") / F.nullif(F.sum("n_words"), F.lit(0))
     return rows.groupBy("domain").agg(
         F.avg("spread").alias("human_spread"), *[pooled(t).alias(f"human_{t}") for t in T.TELLS]
     )
@@ -134,13 +145,18 @@ def axis_table(scores: DataFrame) -> DataFrame:
     return scores.groupBy("model").agg(*[F.avg(a).alias(a) for a in AXES])
 
 
-def weight_trials(spark: SparkSession, trials: int = 500, seed: int = 13) -> DataFrame:
+def weight_rows(trials: int = 500, seed: int = 13) -> list[tuple[int, str, float]]:
     """(trial, axis, weight): weights drawn from 0.10 to 0.45 in the order of the axes, made to sum to 1."""
     draw, rows = random.Random(seed), []
     for trial in range(trials):
         own = [draw.uniform(0.10, 0.45) for _ in AXES]
         rows += [(trial, a, w / sum(own)) for a, w in zip(AXES, own, strict=True)]
-    return spark.createDataFrame(rows, "trial int, axis string, weight double")
+    return rows
+
+
+def weight_trials(spark: SparkSession, trials: int = 500, seed: int = 13) -> DataFrame:
+    """weight_rows as a table."""
+    return spark.createDataFrame(weight_rows(trials, seed), "trial int, axis string, weight double")
 
 
 def sensitivity(scores: DataFrame, trials: DataFrame) -> DataFrame:

@@ -8,41 +8,65 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from proseline.functions import text as T
+from proseline.operators.folds import fold
 
 START, STEP = 1500, 32
 GAP_MS, DAILY_PAIR, DAILY_ADDRESS = 1500, 400, 800
 LEAST_DWELL_MS = 1200
+MOST_PAIR_AGE_MS = 30 * 60 * 1000
 FLOOD_CAP = 50
 
 
-def gate(votes: DataFrame, roster: DataFrame) -> DataFrame:
-    """votes with reason: the first gate that turns a vote away, null if none does; no state is needed."""
+def gate(votes: DataFrame, roster: DataFrame, tokens: bool = False) -> DataFrame:
+    """votes with reason: the first gate that turns a vote away, null if none does; no state is needed.
+
+    With tokens, a vote that isn't an attention check needs a session that hasn't ended and the pair that was served, no
+    older than MOST_PAIR_AGE_MS, and its dwell is its time since then. Their signatures are checked outside; here a token
+    is its columns: session_kind, session_end, pair_kind, pair_a, pair_b (models in order of name) and pair_t.
+    """
     known = roster.select(F.col("model").alias("_m"))
     marked = (
         votes.join(F.broadcast(known.withColumn("_w", F.lit(True))), F.col("w") == F.col("_m"), "left").drop("_m")
         .join(F.broadcast(known.withColumn("_l", F.lit(True))), F.col("l") == F.col("_m"), "left").drop("_m")
     )
+    attention = F.coalesce(F.col("attention"), F.lit(False))
+    reason = F.when(F.col("w").isNull() | F.col("l").isNull() | (F.col("w") == F.col("l")), "bad_fields").when(
+        F.col("_w").isNull() | F.col("_l").isNull(), "unknown_model"
+    )
+    dwell = F.col("dwell")
+    if tokens:
+        session = (F.col("session_kind") == "sess") & (F.coalesce("session_end", F.lit(0)) >= F.col("t"))
+        served = (F.col("pair_a") == F.least("w", "l")) & (F.col("pair_b") == F.greatest("w", "l"))
+        age = F.col("t") - F.coalesce("pair_t", F.lit(0))
+        pair = (F.col("pair_kind") == "pair") & served & (age <= MOST_PAIR_AGE_MS)
+        reason = reason.when(~attention & ~F.coalesce(session, F.lit(False)), "no_session")
+        reason = reason.when(~attention & ~F.coalesce(pair, F.lit(False)), "bad_pair")
+        dwell = F.when(attention, dwell).otherwise(F.col("t") - F.col("pair_t"))
     reason = (
-        F.when(F.col("w").isNull() | F.col("l").isNull() | (F.col("w") == F.col("l")), "bad_fields")
-        .when(F.col("_w").isNull() | F.col("_l").isNull(), "unknown_model")
-        .when((F.length("fp") > 80) | (F.length("scenario") > 60), "too_long")
-        .when(F.coalesce(F.col("attention"), F.lit(False)), "attention")
-        .when(F.col("dwell") < LEAST_DWELL_MS, "too_fast")
+        reason.when((F.length("fp") > 80) | (F.length("scenario") > 60), "too_long")
+        .when(attention, "attention")
+        .when(dwell < LEAST_DWELL_MS, "too_fast")
     )
     return marked.withColumn("reason", reason).drop("_w", "_l")
 
 
+def browser(fp: Column) -> Column:
+    """The browser that a vote is told by: 80 characters at most, nofp where none is given."""
+    return F.substring(F.coalesce(F.nullif(fp, F.lit("")), F.lit("nofp")), 1, 80)
+
+
 class Limiter:
     """Rate and daily limits of one address; a vote is told whether it counts, in order of time."""
 
     def __init__(self, gap: float, per_pair: int, per_address: int):
         self.gap, self.per_pair, self.per_address = gap, per_pair, per_address
         self.last: float | None = None
+        self.day: int | None = None
         self.last_of: dict = {}
         self.seen: dict = {}
 
@@ -51,6 +75,10 @@ class Limiter:
         if any(t - x < self.gap for x in near):
             return "rate"
         day = int(t // 86_400_000)
+        if day != self.day:
+            # what is counted is a day's votes, and a gap is shorter than a day
+            self.day, self.seen = day, {k: n for k, n in self.seen.items() if k[0] >= day - 1}
+            self.last_of = {k: x for k, x in self.last_of.items() if t - x < self.gap}
         for key in ((day, fp), (day,)):
             self.seen[key] = self.seen.get(key, 0) + 1
         if self.seen[day, fp] > self.per_pair or self.seen[day,] > self.per_address:
@@ -63,18 +91,26 @@ def rate_limit(votes: DataFrame, gap: float = GAP_MS, per_pair: int = DAILY_PAIR
     """seq, iph, fp and reason (rate, daily_cap or null) of each vote.
 
     The gap counts from the last vote that counted, so it is a fold over each address in order, not a difference of
-    neighbours. Votes that come too soon don't count towards the day's cap; those over the cap do.
+    neighbours. Votes that come too soon don't count towards the day's cap; those over the cap do. An address's votes
+    pass in order; what a task holds is an address's last votes and counts.
     """
+    kinds = {f.name: f.dataType.simpleString() for f in votes.schema}
+    out = StructType.fromDDL(f"seq {kinds['seq']}, iph {kinds['iph']}, fp {kinds['fp']}, reason string")
+    return fold(votes, "iph", ["t", "seq"], ["seq", "t", "fp"], lambda a: Limits(a, Limiter(gap, per_pair, per_address)), out)
 
-    def run(found: pd.DataFrame) -> pd.DataFrame:
-        own = found.sort_values(["t", "seq"])
-        limiter = Limiter(gap, per_pair, per_address)
-        return own.assign(reason=[limiter.reason(t, fp) for t, fp in zip(own["t"], own["fp"], strict=True)])[["seq", "iph", "fp", "reason"]]
 
-    kinds = {f.name: f.dataType.simpleString() for f in votes.schema}
-    return votes.select("seq", "t", "iph", "fp").groupBy("iph").applyInPandas(
-        run, f"seq {kinds['seq']}, iph {kinds['iph']}, fp {kinds['fp']}, reason string"
-    )
+class Limits:
+    """A limiter over the votes of one address as they come."""
+
+    def __init__(self, address: object, limiter: Limiter):
+        self.address, self.limiter = address, limiter
+
+    def add(self, row: tuple) -> list[tuple]:
+        seq, t, fp = row
+        return [(seq, self.address, fp, self.limiter.reason(t, fp))]
+
+    def end(self) -> tuple:
+        return ()
 
 
 def flood_cap(votes: DataFrame, cap: int = FLOOD_CAP) -> DataFrame:
@@ -87,37 +123,73 @@ def _rounded(x: float) -> int:
     return math.floor(x + 0.5)
 
 
-def rate(pairs) -> tuple[dict, dict]:
-    """Ratings and games of models after (w, l, o) in order; each side's rating is rounded by itself."""
-    elo: dict = {}
-    games: dict = {}
-    for w, l, o in pairs:  # noqa: E741
-        a, b = elo.get(w, START), elo.get(l, START)
+class Ratings:
+    """Ratings and games of one board's models, vote by vote; each side's rating is rounded by itself."""
+
+    def __init__(self, board: object = None):
+        self.board, self.elo, self.games = board, {}, {}
+
+    def add(self, row: tuple) -> tuple:
+        w, l, o = row  # noqa: E741
+        a, b = self.elo.get(w, START), self.elo.get(l, START)
         expected = 1 / (1 + 10 ** ((b - a) / 400))
         won = 0.5 if o == "both" else 1.0
-        elo[w], elo[l] = _rounded(a + STEP * (won - expected)), _rounded(b + STEP * ((1 - won) - (1 - expected)))
-        games[w], games[l] = games.get(w, 0) + 1, games.get(l, 0) + 1
-    return elo, games
+        self.elo[w], self.elo[l] = _rounded(a + STEP * (won - expected)), _rounded(b + STEP * ((1 - won) - (1 - expected)))
+        self.games[w], self.games[l] = self.games.get(w, 0) + 1, self.games.get(l, 0) + 1
+        return ()
+
+    def end(self) -> list[tuple]:
+        return [(self.board, model, rating, self.games[model]) for model, rating in self.elo.items()]
+
+
+def rate(pairs) -> tuple[dict, dict]:
+    """Ratings and games of models after (w, l, o) in order."""
+    state = Ratings()
+    for row in pairs:
+        state.add(row)
+    return state.elo, state.games
 
 
 def elo(votes: DataFrame, board: str = "mode") -> DataFrame:
     """board, model, elo and games: a fold over each board's log in order of (t, seq).
 
-    Ratings depend on the order of all votes of a board, so a board is one task; only three short columns travel, and
-    boards go side by side.
+    Ratings depend on the order of all votes of a board, so a board's votes pass through one task, three short columns
+    each, sorted on disk where need be; what the task holds is a number or two a model. Boards go side by side.
     """
-    kind = votes.schema[board].dataType.simpleString()
+    out = StructType.fromDDL(f"{board} {votes.schema[board].dataType.simpleString()}, model string, elo bigint, games bigint")
+    return fold(votes, board, ["t", "seq"], ["w", "l", "o"], Ratings, out)
 
-    def run(found: pd.DataFrame) -> pd.DataFrame:
-        own = found.sort_values(["t", "seq"])
-        ratings, games = rate(zip(own["w"], own["l"], own["o"], strict=True))
-        return pd.DataFrame(
-            [(found[board].iloc[0], m, r, games[m]) for m, r in ratings.items()], columns=[board, "model", "elo", "games"]
-        )
 
-    return votes.select(board, "seq", "t", "w", "l", "o").groupBy(board).applyInPandas(
-        run, f"{board} {kind}, model string, elo bigint, games bigint"
-    )
+def recomputed(votes: DataFrame, roster: DataFrame, mode: str, cap: int = FLOOD_CAP) -> DataFrame:
+    """votes of a log with used: of the mode, between models of the roster, and among the first `cap` such of its address.
+
+    Ratings are those of used votes; the others count as dropped.
+    """
+    known = F.broadcast(roster.select(F.col("model").alias("_m"), F.lit(True).alias("_known")))
+    marked = votes
+    for side in ("w", "l"):
+        marked = marked.join(known, F.col(side) == F.col("_m"), "left").withColumn(f"_{side}", F.col("_known").isNotNull()).drop("_m", "_known")
+    valid = F.coalesce(F.col("mode") == mode, F.lit(False)) & F.col("_w") & F.col("_l")
+    own = Window.partitionBy("iph", "_valid").orderBy("t", "seq")
+    marked = marked.withColumn("_valid", valid).withColumn("used", F.col("_valid") & (F.row_number().over(own) <= (cap or FLOOD_CAP)))
+    return marked.drop("_w", "_l", "_valid")
+
+
+def recompute(votes: DataFrame, roster: DataFrame, mode: str, cap: int = FLOOD_CAP) -> dict[str, DataFrame]:
+    """A board made anew from its log: counts (used, dropped), main (ratings) and domains (ratings by domain)."""
+    marked = recomputed(votes, roster, mode, cap)
+    used = marked.where("used")
+    return {
+        "counts": marked.agg(F.count_if("used").alias("used"), F.count_if(~F.col("used")).alias("dropped")),
+        "main": elo(used),
+        "domains": elo(with_domain(used).where("domain is not null"), "domain"),
+    }
+
+
+def reset(tables: dict[str, DataFrame], wipe: bool = False) -> dict[str, DataFrame]:
+    """A board's tables without their rows: ratings, tally and scenario votes, and with wipe the log too; domains' ratings stay."""
+    emptied = {"ratings", "tally", "scenario_votes"} | ({"log"} if wipe else set())
+    return {name: df.limit(0) if name in emptied else df for name, df in tables.items()}
 
 
 def win_tally(votes: DataFrame) -> DataFrame:
@@ -143,6 +215,31 @@ def recent(votes: DataFrame, now: Column, tail: int = 400, window_ms: int = 3_60
     return newest.agg(F.coalesce(F.sum((F.col("t") >= now - window_ms).cast("bigint")), F.lit(0)).alias("last_hour"))
 
 
+def tally(gated: DataFrame) -> DataFrame:
+    """(outcome, n) of votes with reason: seen, counted, both (ties), attention and each other reason."""
+    outcome = F.coalesce("reason", F.when(F.col("o") == "both", "both").otherwise("counted"))
+    reached = ~F.coalesce(F.col("reason").isin("bad_fields", "unknown_model", "too_long", "no_session", "bad_pair"), F.lit(False))
+    names = F.array_compact(F.array(outcome, F.when(reached, F.lit("seen"))))
+    return gated.select(F.explode(names).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def stats(gated: DataFrame, now: Column, window_ms: int = 3_600_000) -> DataFrame:
+    """One row: total, decided and ties, the log's length, its last hour, votes seen, and rejections by reason.
+
+    gated are all votes that came, with reason; the log is those without. last_hour looks at the newest 400 of the log.
+    """
+    log = gated.where("reason is null")
+    counts = gated.agg(
+        F.count_if(F.col("reason").isNull()).alias("total"),
+        F.count_if(F.col("reason").isNull() & (F.col("o") != "both")).alias("decided"),
+        F.count_if(F.col("reason").isNull() & (F.col("o") == "both")).alias("ties"),
+        F.count_if(F.col("reason").isNull()).alias("log_len"),
+        F.count_if(F.col("reason").isNull() | F.col("reason").isin("attention", "too_fast", "rate", "daily_cap")).alias("seen"),
+        *[F.count_if(F.col("reason") == r).alias(f"rejected_{r}") for r in ("too_fast", "rate", "daily_cap", "no_session", "bad_pair")],
+    )
+    return counts.join(F.broadcast(recent(log, now, window_ms=window_ms)))
+
+
 def human_score(bench: DataFrame, ratings: DataFrame) -> DataFrame:
     """model and score: 40 % the rating between the lowest and highest, 15 % each axis between its highest and lowest.
 

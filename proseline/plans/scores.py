@@ -92,9 +92,23 @@ def axis_table(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(scoring.axis_table(_scores(spark, sf)))
 
 
-@query()
+_WEIGHT_VALUES = ", ".join(f"({t}, '{a}', {w!r})" for t, a, w in scoring.weight_rows())
+
+
+@query(
+    f"""WITH {AXES_SQL}, w AS (SELECT * FROM (VALUES {_WEIGHT_VALUES}) v(trial, axis, weight)),
+c AS (SELECT model, domain, {_COMPOSITE} AS composite FROM axes), b AS (SELECT model, avg(composite) AS overall FROM c GROUP BY 1),
+base AS (SELECT model, row_number() OVER (ORDER BY overall DESC, model) AS place FROM b WHERE overall IS NOT NULL),
+l AS (UNPIVOT axes ON conciseness, templating, rhythm, tells INTO NAME axis VALUE v),
+s AS (SELECT trial, model, sum(weight * v) / sum(weight) AS score FROM l JOIN w USING (axis) GROUP BY 1, 2),
+r AS (SELECT trial, model, row_number() OVER (PARTITION BY trial ORDER BY score DESC, model) AS place, count(*) OVER (PARTITION BY trial) AS n FROM s),
+e AS (SELECT trial, min(CAST(r.place = base.place AS INT)) AS same, max(CASE WHEN r.place = 1 THEN model END) AS top, max(CASE WHEN r.place = n THEN model END) AS bottom
+  FROM r JOIN base USING (model) GROUP BY 1),
+t AS (SELECT top, count(*) AS k FROM e GROUP BY 1 ORDER BY k DESC, top LIMIT 1), bo AS (SELECT bottom, count(*) AS k FROM e GROUP BY 1 ORDER BY k DESC, bottom LIMIT 1)
+SELECT round((SELECT avg(same) FROM e), {R}) AS order_kept, top, round(t.k / 500, {R}) AS top_share, bottom, round(bo.k / 500, {R}) AS bottom_share FROM t, bo"""
+)
 def sensitivity_trials(spark: SparkSession, sf: str) -> DataFrame:
-    """Seeded weights are drawn on the driver; tested against plain Python."""
+    """Seeded weights, a row a trial and axis, meet each model's axes, which are computed once."""
     scores = _scores(spark, sf).persist()
     found = scoring.sensitivity(scores, scoring.weight_trials(spark))
     return _rounded(scoring.stability(found, scoring.board(scores)))
@@ -115,14 +129,33 @@ def boot_separation(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(resample.separation(boot_ci(spark, sf)))
 
 
-@query()
+_DRAW_VALUES = ", ".join(f"({r}, '{s}', {k})" for r, _, s, k in resample.draw_rows(V.SCENARIOS))
+
+
+@query(
+    f"""WITH {AXES_SQL.partition("axes AS (")[0].rstrip().rstrip(",")}, w AS (SELECT * FROM (VALUES {_DRAW_VALUES}) v(rep, scenario, k)),
+dm AS (SELECT model, domain, scenario, count(*) AS n, sum(infl) AS infl, count(infl) AS ni, sum(ps) AS ps, count(ps) AS np FROM m GROUP BY ALL),
+dt AS (UNPIVOT (SELECT model, domain, scenario, n, {', '.join(_T)} FROM m) ON {', '.join(_T)} INTO NAME tell VALUE hits),
+ds AS (SELECT model, domain, scenario, tell, sum(1000.0 * hits / greatest(n, 1)) AS r FROM dt GROUP BY ALL),
+wt AS (SELECT rep, model, domain, tell, sum(k * r) AS r FROM ds JOIN w USING (scenario) GROUP BY ALL),
+wm AS (SELECT rep, model, dm.domain, sum(k * dm.n) AS n, avg(k * dm.n) AS size, sum(k * infl) / nullif(sum(k * ni), 0) AS infl, sum(k * ps) / nullif(sum(k * np), 0) AS ps,
+  avg(CASE WHEN dm.n = 1 AND k > 1 THEN 1.0 ELSE most / dm.n END) FILTER (WHERE k * dm.n >= 2) AS rep_share
+  FROM dm JOIN w USING (scenario) JOIN sc USING (model, domain, scenario) GROUP BY 1, 2, 3),
+tl2 AS (SELECT rep, model, domain, avg(CASE WHEN h > 0 THEN {_SCALE.replace("r / h", "wt.r / wm.n / h")} WHEN wt.r > 0 THEN 50.0 END) AS tells
+  FROM wt JOIN wm USING (rep, model, domain) JOIN hr USING (domain, tell) GROUP BY 1, 2, 3),
+axes AS (SELECT rep, model, domain, least(100.0, 100 * infl) AS conciseness,
+  CASE WHEN rep_share IS NULL THEN NULL WHEN 1 / size < 1 THEN least(100.0, greatest(0.0, 100 * (rep_share - 1 / size) / (1 - 1 / size))) ELSE 0.0 END AS templating,
+  CASE WHEN hspread > 0 THEN least(100.0, 100 * greatest(0.0, 1 - ps / hspread)) END AS rhythm, tells
+  FROM wm LEFT JOIN hs USING (domain) LEFT JOIN tl2 USING (rep, model, domain)),
+o2 AS (SELECT rep, model, avg({_COMPOSITE}) AS score FROM axes GROUP BY 1, 2),
+p2 AS (SELECT rep, model, row_number() OVER (PARTITION BY rep ORDER BY round(score, 9) DESC, model) AS place FROM o2 WHERE score IS NOT NULL),
+l2 AS (SELECT model, list(place ORDER BY place) AS places FROM p2 GROUP BY 1)
+SELECT model, CAST(places[CAST(floor(0.025 * len(places)) AS BIGINT) + 1] AS INT) AS best, CAST(places[CAST(floor(0.975 * len(places)) AS BIGINT) + 1] AS INT) AS worst FROM l2"""
+)
 def rank_spread(spark: SparkSession, sf: str) -> DataFrame:
-    sums = scoring.scenario_sums(scoring.row_measures(V.outputs(spark, sf))).persist()
-    human = scoring.human_profile(V.human(spark, sf)).persist()
-    names: dict[str, list[str]] = {}
-    for r in sums.select("domain", "scenario").distinct().collect():  # a row a scenario, as the draws need them
-        names.setdefault(r.domain, []).append(r.scenario)
-    return resample.rank_spread(sums, human, resample.scenario_draws(spark, names))
+    """500 replicates of each domain's scenarios; a scenario without texts adds nothing where it is drawn."""
+    sums = scoring.scenario_sums(scoring.row_measures(V.outputs(spark, sf)))
+    return resample.rank_spread(sums, scoring.human_profile(V.human(spark, sf)), resample.scenario_draws(spark, V.SCENARIOS))
 
 
 # Ranks and rank intervals of a published board, which its tie groups follow from.
@@ -196,6 +229,21 @@ def lexical_vs_human(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(reports.lexical_comparison(models, human))
 
 
+@query()
+def go_no_go(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate over all metrics, with a made-up detector; intervals are seeded draws, tested against plain Python."""
+    part = lambda n: (F.pmod("doc_id", F.lit(n)) / float(n)).cast("double")
+    fields = [part(5 + 2 * i).alias(f) for i, f in enumerate(reports.DETECTOR_FIELDS)]
+    rows = V.outputs(spark, sf).withColumns({"place": F.col("doc_id"), "pangram": F.struct(*fields, F.array(part(11), part(13)).alias("window_scores"))})
+    return _rounded(reports.go_no_go(rows))
+
+
+@query()
+def synthesis(spark: SparkSession, sf: str) -> DataFrame:
+    """All domains' findings in one report; its parts have oracles of their own."""
+    return reports.synthesis(_verdicts(spark, sf), band_check(spark, sf), lexical_vs_human(spark, sf))
+
+
 _BANDS = [(d, 10 * i + lo, hi * (i + 1)) for d, lo, hi in (("email", 20, 120), ("essay", 80, 300), ("slack", 5, 60), ("social", 5, 40)) for i in range(3)]
 _BAND_VALUES = ", ".join(f"('{d}', {lo}, {hi})" for d, lo, hi in _BANDS)
 

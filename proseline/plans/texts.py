@@ -161,9 +161,8 @@ e AS (SELECT doc_id, text, len(w) AS n,
 n >= 3 AND ascii >= 0.90 AND (n <= 6 OR stop >= 0.03) AS chat FROM e"""
 )
 def english_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return V.table(spark, sf, "documents").select(
-        "doc_id", cleaning.is_english(F.col("text"), 30).alias("strict"), cleaning.is_english(F.col("text"), 3, strict=False).alias("chat")
-    )
+    signs = V.table(spark, sf, "documents").select("doc_id", cleaning.language_signs(F.col("text")).alias("s"))
+    return signs.select("doc_id", cleaning.english(F.col("s"), 30).alias("strict"), cleaning.english(F.col("s"), 3, strict=False).alias("chat"))
 
 
 _CAPS = "regexp_matches({0}, '\\p{{Lu}}') AND NOT regexp_matches({0}, '[\\p{{Ll}}\\p{{Lt}}]')"
@@ -217,14 +216,42 @@ def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.exact(V.table(spark, sf, "documents").select("doc_id", "text"), position="doc_id").select("doc_id")
 
 
-@query()
+_FIRST = f"""x AS (SELECT doc_id, text, row_number() OVER (PARTITION BY sha1({D.normalised('text')}) ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL),
+wd AS MATERIALIZED (SELECT doc_id, {D.tokens('lower(text)')} AS w FROM x WHERE k = 1), ws AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM wd),
+us AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM ws),
+u AS MATERIALIZED (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id) AS n FROM us)"""
+
+
+@query(
+    f"""WITH {_FIRST}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM u a JOIN u b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT a, b, round(common / (na + nb - common), {R}) AS jaccard FROM p WHERE common / (na + nb - common) >= 0.8"""
+)
 def shingle_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of documents of 0.8 or more by five-word shingles, copies first collapsed; brute force in the tests."""
+    """All pairs of documents of 0.8 or more by five-word shingles, copies first collapsed."""
     docs = dedup.exact(V.table(spark, sf, "documents").select("doc_id", "text"), position="doc_id")
     return _rounded(dedup.exact_similar(docs, position="doc_id"))
 
 
-@query()
+_MIN = ", ".join(f"min(CAST((CAST({a} AS HUGEINT) * (h % 2147483648) % {dedup.PRIME} + CAST({a} AS HUGEINT) * (h // 2147483648) % {dedup.PRIME} * 2147483648 + {b}) % {dedup.PRIME} AS BIGINT)) AS m{i}" for i, (a, b) in enumerate(dedup.coefficients()))
+
+
+@query(
+    f"""WITH RECURSIVE {_FIRST}, d AS (SELECT doc_id, n, s, md5(s) AS md FROM u),
+hs AS (SELECT doc_id, n, s, (CAST(CAST('0x' || substr(md, 1, 16) AS UBIGINT) AS HUGEINT) * 8 + CAST('0x' || substr(md, 17, 16) AS UBIGINT)) % {dedup.PRIME} AS h FROM d),
+g AS (SELECT doc_id, {_MIN} FROM hs GROUP BY 1),
+c AS (SELECT doc_id, 0 AS band, [m0, m1, m2, m3] AS key FROM g UNION ALL SELECT doc_id, 1, [m4, m5, m6, m7] FROM g),
+q AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM c a JOIN c b ON a.band = b.band AND a.key = b.key AND a.doc_id < b.doc_id),
+j AS (SELECT q.a, q.b, count(*) AS common, any_value(x.n) AS na, any_value(y.n) AS nb FROM q JOIN u x ON x.doc_id = q.a JOIN u y ON y.doc_id = q.b AND x.s = y.s GROUP BY 1, 2),
+l AS (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS k FROM j WHERE common / (na + nb - common) >= 0.8 GROUP BY b),
+r AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone
+  UNION ALL
+  SELECT l.k, CASE WHEN len(list_filter(l.earlier, lambda e: NOT list_contains(r.gone, e))) > 0 THEN list_append(r.gone, l.b) ELSE r.gone END
+  FROM r JOIN l ON l.k = r.k + 1),
+z AS (SELECT gone FROM r ORDER BY k DESC LIMIT 1)
+SELECT doc_id FROM x, z WHERE k = 1 AND NOT list_contains(z.gone, doc_id)"""
+)
 def minhash_near_dup(spark: SparkSession, sf: str) -> DataFrame:
     docs = dedup.exact(V.table(spark, sf, "documents").select("doc_id", "text"), position="doc_id")
     return dedup.near(docs, position="doc_id").select("doc_id")
@@ -275,7 +302,19 @@ def email_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("path", "position", T.n_tokens(cleaning.clean_message(F.col("text"))).alias("n_words"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE m AS (SELECT user_id AS channel, ts, CASE WHEN event_type IN ('click', 'view') THEN 'a' ELSE 'b' END AS author,
+  {D.n_tokens("concat_ws(' ', event_type, props)")} AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (
+  SELECT channel, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS author, CAST(NULL AS TIMESTAMP) AS ts, CAST(0 AS BIGINT) AS n_messages,
+    CAST(0 AS BIGINT) AS words FROM m GROUP BY channel
+  UNION ALL
+  SELECT m.channel, m.k, CASE WHEN x.same THEN f.turn ELSE f.turn + 1 END, m.author, CAST(m.ts AS TIMESTAMP), CASE WHEN x.same THEN f.n_messages + 1 ELSE 1 END,
+    CASE WHEN x.same THEN f.words + m.n ELSE m.n END
+  FROM f JOIN m ON m.channel = f.channel AND m.k = f.k + 1, LATERAL (SELECT coalesce(m.author = f.author AND epoch_us(CAST(m.ts AS TIMESTAMP)) - epoch_us(f.ts) <= 43200000000
+    AND f.n_messages < 5 AND f.words < 40, false) AS same) x)
+SELECT channel, turn, any_value(author) AS author, max(n_messages) AS n_messages FROM f WHERE k > 0 GROUP BY 1, 2"""
+)
 def chat_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Events of a user's channel as chat messages, authors taken in twos, merged into turns."""
     author = F.when(F.col("event_type").isin("click", "view"), "a").otherwise("b")
@@ -299,23 +338,59 @@ def pearson_len_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH d AS (SELECT doc_id, text FROM documents), b AS (SELECT item_id, {D.normalised('text')} AS t FROM benchmark)
-SELECT doc_id, count(*) AS items FROM d JOIN b ON contains({D.normalised('d.text')}, b.t) WHERE length(b.t) >= 20 GROUP BY 1"""
+SELECT doc_id, count(*) AS items FROM d JOIN b ON contains({D.normalised('d.text')}, b.t) WHERE length(b.t) > 0 GROUP BY 1"""
 )
 def benchmark_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a benchmark item's normalised text: the item's first 20 characters find it, the whole decides.
-
-    Windows of a document are joined by their hash, so the benchmark can be of any size.
-    """
-    items = V.table(spark, sf, "benchmark").select("item_id", T.normalised(F.col("text")).alias("t")).where(F.length("t") >= 20)
-    items = items.withColumn("head", F.xxhash64(F.substring("t", 1, 20)))
-    docs = V.table(spark, sf, "documents").select("doc_id", T.normalised(F.col("text")).alias("d"))
-    heads_of = lambda d: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(d) - 19, F.lit(1))), lambda i: F.xxhash64(F.substr(d, i, F.lit(20)))
-    )
-    starts = F.transform(F.array("d"), heads_of)[0]  # the text is made once, as a lambda's variable
-    heads = docs.select("doc_id", F.explode(F.array_distinct(starts)).alias("head"))
-    found = heads.join(items, "head").select("doc_id", "item_id", "t").distinct().join(docs, "doc_id")
-    return found.where(F.contains("d", "t")).groupBy("doc_id").agg(F.count("*").alias("items"))
+    """Documents that hold a benchmark item's normalised text."""
+    return reports.contained(V.table(spark, sf, "documents"), V.table(spark, sf, "benchmark"))
+
+
+@query(
+    f"""{OUT}, h AS (SELECT model, domain, {D.n_tokens('text')} AS n_words, {_DASH} FROM o), hu AS ({V.HUMAN_SQL}),
+hh AS (SELECT domain, {D.n_tokens('text')} AS n_words, {_DASH} FROM hu),
+l AS (UNPIVOT h ON {', '.join(T.DASHES)} INTO NAME form VALUE hits), lh AS (UNPIVOT hh ON {', '.join(T.DASHES)} INTO NAME form VALUE hits),
+r AS (SELECT domain, model, form, 1000.0 * sum(hits) / greatest(sum(n_words), 1) AS rate FROM l GROUP BY ALL),
+q AS (SELECT domain, form, 1000.0 * sum(hits) / sum(n_words) AS human_rate FROM lh GROUP BY ALL)
+SELECT domain, form, round(coalesce(human_rate, 0), {R}) AS human_rate, model, round(rate, {R}) AS rate,
+CASE WHEN rate > coalesce(human_rate, 0) THEN 'above' WHEN rate < coalesce(human_rate, 0) THEN 'below' ELSE 'equal' END AS verdict FROM r LEFT JOIN q USING (domain, form)"""
+)
+def dash_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    def long(df: DataFrame, keys: list[str]) -> DataFrame:
+        rows = df.select(*keys, T.n_tokens(F.col("text")).alias("words"), *[c.alias(k) for k, c in T.dash_hits(F.col("text")).items()])
+        return rows.unpivot([*keys, "words"], list(T.DASHES), "form", "hits")
+
+    human = long(V.human(spark, sf), ["domain"]).groupBy("domain", "form").agg((1000 * F.sum("hits") / F.nullif(F.sum("words"), F.lit(0))).alias("human_rate"))
+    return _rounded(reports.dash_table(long(V.outputs(spark, sf), ["model", "domain"]), human))
+
+
+@query(
+    """SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace(replace(concat('**', doc_id, '** & <b> `x', doc_id, '` ', replace(text, '*', '')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+  '\\*\\*([^*]+)\\*\\*', '<b>\\1</b>', 'g'), '`([^`]+)`', '<code>\\1</code>', 'g')) AS digest FROM documents"""
+)
+def page_markup(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as small Markdown, their own asterisks left out, since DuckDB's patterns can't look ahead."""
+    raw = F.concat(F.lit("**"), F.col("doc_id").cast("string"), F.lit("** & <b> `x"), F.col("doc_id").cast("string"), F.lit("` "), F.replace("text", F.lit("*"), F.lit("")))
+    return V.table(spark, sf, "documents").select("doc_id", F.md5(T.mini_markdown(raw)).alias("digest"))
+
+
+@query(
+    f"""{OUT}, h AS (SELECT model, domain, {D.n_tokens('text')} AS n_words, {_TELLS} FROM o), hu AS ({V.HUMAN_SQL}),
+hh AS (SELECT domain, {D.n_tokens('text')} AS n_words, {_TELLS} FROM hu),
+l AS (UNPIVOT h ON {', '.join(T.TELLS)} INTO NAME tell VALUE hits), lh AS (UNPIVOT hh ON {', '.join(T.TELLS)} INTO NAME tell VALUE hits),
+r AS (SELECT domain, model, tell, 1000.0 * sum(hits) / sum(n_words) AS rate FROM l GROUP BY ALL), q AS (SELECT domain, tell, 1000.0 * sum(hits) / sum(n_words) AS base FROM lh GROUP BY ALL)
+SELECT domain, model, tell, round(CASE WHEN rate / nullif(base, 0) <= 1 THEN 0.0 ELSE least(100.0, 100 * ln(rate / nullif(base, 0)) / ln(20)) END, {R}) AS score
+FROM r JOIN q USING (domain, tell) WHERE base > 0"""
+)
+def marker_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The logarithmic score of each tell that people have at all."""
+    def pooled(df: DataFrame, keys: list[str]) -> DataFrame:
+        rows = df.select(*keys, T.n_tokens(F.col("text")).alias("n"), *[c.alias(k) for k, c in T.tell_hits(F.col("text")).items()])
+        sums = rows.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in T.TELLS]).unpivot([*keys, "n"], list(T.TELLS), "tell", "hits")
+        return sums.select(*keys, "tell", (1000 * F.col("hits") / F.nullif(F.col("n"), F.lit(0))).alias("rate"))
+
+    human = pooled(V.human(spark, sf), ["domain"]).withColumnRenamed("rate", "base").where("base > 0")
+    found = pooled(V.outputs(spark, sf), ["model", "domain"]).join(F.broadcast(human), ["domain", "tell"])
+    return _rounded(found.select("domain", "model", "tell", T.marker_score(F.col("rate"), F.col("base")).alias("score")))
 
 
 @query(

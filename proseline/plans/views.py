@@ -42,6 +42,10 @@ _VOTE_COLUMNS = f"""event_id AS seq, 'v1' AS mode, concat('m', CAST({_W} AS STRI
 VOTES_SQL = f"SELECT {_VOTE_COLUMNS}, CAST(floor((epoch_us(ts) - 1704067200000000) / 3600000.0) AS BIGINT) AS t FROM events"
 
 
+#: Every scenario that a document can be of, by domain.
+SCENARIOS = {d: [f"{d}.{i}" for i in range(3)] for d in ("email", "essay", "slack", "social")}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -107,17 +109,38 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "value"))
 
 
+# How a prompt names who is speaking.
+SPEAKERS = {"recipient": "They wrote", "persona": "I previously wrote", "other": "Context"}
+
+
 def prompts(scenarios_: DataFrame) -> DataFrame:
-    """id and prompt: who writes to whom, the thread with its speakers, and the request."""
-    thread = F.array_join(F.transform("context_thread", lambda m: F.concat_ws(": ", m["from"], m["text"])), "\n")
-    parts = F.concat_ws(
-        "\n\n",
-        F.when(F.col("persona").isNotNull(), F.concat(F.lit("You are "), "persona")),
-        F.when(F.col("recipient").isNotNull(), F.concat(F.lit("Writing to: "), "recipient")),
-        F.when(F.size("context_thread") > 0, thread),
-        F.col("prompt"),
+    """id and prompt: the writer, the one written to, the thread with its speakers, a blank line, and the request."""
+    def who(m: Column) -> Column:
+        return reduce(lambda found, x: found.when(m["from"] == x[0], x[1]), SPEAKERS.items(), F.when(F.lit(False), "")).otherwise("Context")
+
+    said = F.transform(F.coalesce("context_thread", F.array()), lambda m: F.concat(who(m), F.lit(': "'), m["text"], F.lit('"')))
+    lines = F.concat(
+        F.array(F.concat(F.lit("About me: "), "persona")),
+        F.array(F.when(F.coalesce("recipient", F.lit("")) != "", F.concat(F.lit("Who this is going to: "), "recipient"))),
+        said,
+        F.array(F.concat(F.lit("\n"), "prompt")),
     )
-    return scenarios_.select("id", parts.alias("prompt"))
+    return scenarios_.select("id", F.array_join(lines, "\n").alias("prompt"))
+
+
+def with_setups(outputs_: DataFrame, setups_: DataFrame) -> DataFrame:
+    """outputs (scenario, ...) with setup, empty where a scenario has none."""
+    return outputs_.join(F.broadcast(setups_), "scenario", "left").withColumn("setup", F.coalesce("setup", F.lit("")))
+
+
+def pairs_to_map(flat: DataFrame, column: str = "flat") -> DataFrame:
+    """flat with its array of keys and values in turn as a map; of a key that comes twice the last value counts."""
+    flat_ = F.col(column)
+    numbers = F.sequence(F.lit(0), (F.size(flat_) / 2).cast("int") - 1)
+    entries = F.transform(numbers, lambda i: F.struct(F.get(flat_, 2 * i).alias("k"), F.get(flat_, 2 * i + 1).alias("v")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["k"] == e["k"]))
+    none = F.expr("cast(map() as map<string, string>)")
+    return flat.withColumn(column, F.when(F.size(F.coalesce(flat_, F.array())) < 2, none).otherwise(F.map_from_entries(last)))
 
 
 def generation_plan(models: DataFrame, scenarios_: DataFrame, samples: int) -> DataFrame:

@@ -37,3 +37,14 @@ def snapshot(votes: DataFrame, folder: str, at: datetime | None = None) -> str:
     path = f"{folder}/votes-{(at or datetime.now(UTC)):%Y%m%d-%H%M}.jsonl"
     votes.write.mode("errorifexists").json(path)
     return path
+
+
+def console_table(df: DataFrame, order: list[str], width: int = 13, first: int = 24, digits: int = 1, rows: int = 1000) -> str:
+    """A report of up to `rows` rows as fixed-width text: the first column to the left, numbers to the right, n/a for null."""
+    def cell(x: object, size: int) -> str:
+        return ("n/a" if x is None else f"{x:.{digits}f}" if isinstance(x, float) else str(x)).rjust(size)
+
+    names = df.columns
+    head = names[0].ljust(first) + "".join(n[: width - 2].rjust(width) for n in names[1:])
+    found = df.orderBy(*order).limit(rows).collect()
+    return "\n".join([head, *(str(r[0]).ljust(first) + "".join(cell(x, width) for x in r[1:]) for r in found)])

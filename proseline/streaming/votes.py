@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from proseline.operators.votes import DAILY_ADDRESS, DAILY_PAIR, GAP_MS, Limiter
@@ -62,45 +61,6 @@ def rate_limited(
     return votes.select("seq", "t", "iph", "fp").groupBy("iph").applyInPandasWithState(run, SCHEMA, STATE, "append", timeout)
 
 
-class LimitProcessor(StatefulProcessor):
-    """The same limits by a state processor: one value and two maps with time to live, kept by the RocksDB store."""
-
-    def __init__(self, gap: float = GAP_MS, per_pair: int = DAILY_PAIR, per_address: int = DAILY_ADDRESS):
-        self.gap, self.per_pair, self.per_address = gap, per_pair, per_address
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        hour, day = 3_600_000, 86_400_000
-        self.last = handle.getValueState("last", "t double", ttlDurationMs=hour)
-        self.last_of = handle.getMapState("last_of", "fp string", "t double", ttlDurationMs=hour)
-        self.seen = handle.getMapState("seen", "day bigint, fp string", "n bigint", ttlDurationMs=2 * day)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values(["t", "seq"])
-        limiter = Limiter(self.gap, self.per_pair, self.per_address)
-        if self.last.exists():
-            limiter.last = self.last.get()[0]
-        limiter.last_of = {k[0]: v[0] for k, v in self.last_of.iterator()}
-        limiter.seen = {((k[0], k[1]) if k[1] else (k[0],)): v[0] for k, v in self.seen.iterator()}
-        own["reason"] = [limiter.reason(t, fp) for t, fp in zip(own["t"], own["fp"], strict=True)]
-        if limiter.last is not None:
-            self.last.update((float(limiter.last),))
-        for fp, t in limiter.last_of.items():
-            self.last_of.updateValue((fp,), (float(t),))
-        for k, n in limiter.seen.items():
-            self.seen.updateValue((k[0], k[1] if len(k) > 1 else ""), (int(n),))
-        yield own[["seq", "t", "iph", "fp", "reason"]]
-
-    def close(self) -> None:
-        pass
-
-
-def rate_limited_by_processor(votes: DataFrame, **limits) -> DataFrame:
-    """rate_limited with LimitProcessor; needs the RocksDB state store."""
-    return votes.select("seq", "t", "iph", "fp").groupBy("iph").transformWithStateInPandas(
-        LimitProcessor(**limits), outputStructType=SCHEMA, outputMode="append", timeMode="ProcessingTime"
-    )
-
-
 def append_log(folder: str):
     """A foreachBatch function: the batch's counting votes to the log, its reasons to the tallies. A batch that is run
     again overwrites what it wrote before.

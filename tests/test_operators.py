@@ -35,10 +35,24 @@ def test_tie_groups_are_those_of_the_board(spark):
     assert next(r.tie_group for r in found if r.model == "deepseek-v4-pro") == 3
 
 
-def test_messages():
+def test_messages(spark):
     text = "Hi Jo,\n\nbody one\n\nThanks\n\nheadless\n\na@b on 1/2/2001\n\nDear all,\n\nmore\n\nJo"
-    assert cleaning.messages(text) == ["Hi Jo,\n\nbody one\n\nThanks", "headless", "Dear all,\n\nmore\n\nJo"]
-    assert cleaning.messages("Thanks") == []
+    long = "\n\n".join(["Hey you", *(f"block {i}" for i in range(45)), "Thanks", "Thanks", "tail " * 800, "Jo"])
+    files = spark.createDataFrame([("a", text), ("b", "Thanks"), ("c", None), ("d", long)], "path string, text string")
+    found = {}
+    for r in cleaning.segment(files).orderBy("path", "position").collect():
+        found.setdefault(r.path, []).append(r.text)
+    assert found["a"] == ["Hi Jo,\n\nbody one\n\nThanks", "headless", "Dear all,\n\nmore\n\nJo"]
+    blocks = [f"block {i}" for i in range(45)]
+    assert found["d"] == ["\n\n".join(["Hey you", *blocks[:39]]), "\n\n".join([*blocks[39:], "Thanks"]), "tail " * 800]
+    assert set(found) == {"a", "d"}
+
+
+def test_block_kinds(spark):
+    kinds = {"hello there": "greeting", "Jo Ann,\nx": "greeting", "Jo,\nx\ny": "body", "Best": "signoff", "best regards,": "signoff", "Jo\nsee": "signoff",
+             "x\n1/2/2001 10:30 AM\ny": "noise", "a@b.c on 1/2/01": "noise", "some text": "body"}
+    df = spark.createDataFrame(list(kinds.items()), "b string, kind string")
+    assert df.where(cleaning.block_kind(F.col("b")) != F.col("kind")).collect() == []
 
 
 def test_clean_message(spark):
@@ -79,21 +93,40 @@ def test_near_duplicates_against_a_greedy_loop(spark):
     like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
     pairs = {(r.a, r.b) for r in dedup.exact_similar(df).collect()}
     assert pairs == {(a, b) for a in sets for b in sets if a < b and like(a, b)}
+    # one cell for all: every pair is a candidate, and rows are taken in order
+    sets_of = dedup.shingle_hashes(df)
+    placed = df.select("position", F.lit(0).alias("band"), F.lit(1).alias("key"))
     kept: list[int] = []
     for i in sets:
-        if not any((k, i) in pairs for k in kept):
+        if not any(like(k, i) for k in kept):
             kept.append(i)
-    gone = {r.position for r in dedup.keep_greedily(spark.createDataFrame(sorted(pairs), "a int, b int")).collect()}
+    gone = {r.position for r in dedup.gone(placed, sets_of).collect()}
     assert sorted(set(sets) - gone) == kept
+    # with the bands of signatures, candidates are rows that agree in a band
+    signed = {r.position: tuple(r.signature) for r in dedup.signatures(df).collect()}
+    meet = lambda a, b: signed[a][:4] == signed[b][:4] or signed[a][4:] == signed[b][4:]
+    kept = []
+    for i in sets:
+        if not any(meet(k, i) and like(k, i) for k in kept):
+            kept.append(i)
+    assert sorted(r.position for r in dedup.near(df).collect()) == kept
 
 
 def test_minhash_is_modular(spark):
     import hashlib
 
-    df = spark.createDataFrame([(1, "a b c d e f")], "position int, text string")
-    hashed = [int(hashlib.md5(s.encode()).hexdigest(), 16) for s in ("a b c d e", "b c d e f")]
-    want = [min((a * h + b) % dedup.PRIME for h in hashed) for a, b in dedup.coefficients()]
-    assert [int(x) for x in dedup.signatures(df).first().signature] == want
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "One two"), (3, ""), (4, None)], "position int, text string")
+    shingles = {1: ("a b c d e", "b c d e f"), 2: ("one two",), 3: ("",)}
+    found = {r.position: r.signature for r in dedup.signatures(df).collect()}
+    assert set(found) == set(shingles)
+    for i, own in shingles.items():
+        hashed = [int(hashlib.md5(s.encode()).hexdigest(), 16) for s in own]
+        assert found[i] == [min((a * h + b) % dedup.PRIME for h in hashed) for a, b in dedup.coefficients()]
+
+
+def test_empty_and_null_texts_are_no_near_duplicates_of_each_other(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a b c d e f g"), (4, "A b c d e f g")], "position int, text string")
+    assert sorted(r.position for r in dedup.near(df).collect()) == [1, 2, 3]
 
 
 def test_scores_of_hand_made_texts(spark):
@@ -125,3 +158,129 @@ def test_log_parse_and_blended_scores(spark):
     assert scores["claude-fable-5"] == pytest.approx(20 + 15 * 2)
     guard = reports.budget_guard(spark.createDataFrame([("r", 70.0)], "run string, cost double"), 100.0, 20.0).first()
     assert (guard.remaining, guard.rejected, guard.warned) == (30.0, False, True)
+
+
+def test_people_without_words_have_no_rates(spark):
+    human = scoring.human_profile(spark.createDataFrame([("email", "...")], "domain string, text string")).first()
+    assert human.human_delve is None and human.human_spread is None
+
+
+def test_kinds_and_admission(spark):
+    models = spark.createDataFrame([("m", "x", None), ("m", "", None), ("n", "y", "failed"), ("n", "z", "")], "model string, text string, error string")
+    people = spark.createDataFrame([("src", "w")], "source string, text string")
+    both = scoring.both_kinds(scoring.admitted(models), people)
+    assert sorted(r.text for r in scoring.of_kind(both, "model").collect()) == ["x", "z"]
+    assert [r.text for r in scoring.of_kind(both, "human").collect()] == ["w"]
+    untagged = spark.createDataFrame([("a", None), ("b", "human")], "text string, kind string")
+    assert [r.text for r in scoring.of_kind(untagged, "model").collect()] == ["a"]
+
+
+def test_token_gate(spark):
+    base = dict(w="b", l="a", fp="f", scenario="s", attention=False, dwell=9999, t=10_000_000, session_kind="sess", session_end=10_000_000, pair_kind="pair", pair_a="a", pair_b="b", pair_t=10_000_000 - 5000)
+    cases = [
+        ({}, None), ({"session_kind": None}, "no_session"), ({"session_end": 9_999_999}, "no_session"), ({"session_end": None}, "no_session"), ({"pair_a": "b", "pair_b": "a"}, "bad_pair"),
+        ({"pair_kind": "x"}, "bad_pair"), ({"pair_t": 10_000_000 - 1_800_001}, "bad_pair"), ({"pair_t": 10_000_000 - 1_800_000}, None), ({"pair_t": None}, "bad_pair"),
+        ({"pair_t": 10_000_000 - 1199}, "too_fast"), ({"attention": True, "session_kind": None, "pair_kind": None}, "attention"), ({"fp": "f" * 81}, "too_long"), ({"w": "z"}, "unknown_model"),
+    ]
+    schema = "w string, l string, fp string, scenario string, attention boolean, dwell long, t long, session_kind string, session_end long, pair_kind string, pair_a string, pair_b string, pair_t long, n int"
+    df = spark.createDataFrame([tuple((base | change).values()) + (i,) for i, (change, _) in enumerate(cases)], schema)
+    roster = spark.createDataFrame([("a",), ("b",)], "model string")
+    found = {r.n: r.reason for r in votes.gate(df, roster, tokens=True).collect()}
+    assert found == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_recompute_and_reset(spark):
+    rows = [(i, i, "v", "a", "b", "win", "x", "email.1") for i in range(5)] + [(9, 9, "v", "a", "z", "win", "y", "email.1"), (10, 10, "old", "a", "b", "win", "y", "email.1"), (11, 11, "v", "b", "a", "both", None, "other")]
+    log = spark.createDataFrame(rows, "seq long, t long, mode string, w string, l string, o string, iph string, scenario string")
+    made = votes.recompute(log, spark.createDataFrame([("a",), ("b",)], "model string"), "v", cap=3)
+    assert tuple(made["counts"].first()) == (4, 4)
+    elo, games = votes.rate([("a", "b", "win")] * 3 + [("b", "a", "both")])
+    assert {r.model: (r.elo, r.games) for r in made["main"].collect()} == {m: (elo[m], games[m]) for m in elo}
+    assert {(r.domain, r.model, r.games) for r in made["domains"].collect()} == {("email", "a", 3), ("email", "b", 3)}
+    tables = {"ratings": log, "tally": log, "scenario_votes": log, "log": log, "domains": log}
+    assert {k: v.count() for k, v in votes.reset(tables).items()} == {"ratings": 0, "tally": 0, "scenario_votes": 0, "log": 8, "domains": 8}
+    assert votes.reset(tables, wipe=True)["log"].count() == 0
+
+
+def test_browser(spark):
+    df = spark.createDataFrame([("x" * 90,), ("",), (None,)], "fp string")
+    assert [r[0] for r in df.select(votes.browser(F.col("fp"))).collect()] == ["x" * 80, "nofp", "nofp"]
+
+
+def test_samples_are_seeded(spark):
+    df = spark.range(5000).withColumnRenamed("id", "position").repartition(3)
+    import hashlib
+
+    order = sorted(range(5000), key=lambda i: (hashlib.md5(f"20260114:{i}".encode()).hexdigest(), i))
+    assert [r.position for r in resample.sample_by_hash(df, 40, "position").collect()] == sorted(order[:40])
+    places = list(range(5000))
+    random.Random(20260114).shuffle(places)
+    assert [r.position for r in resample.sample_exact(df, 25, "position").collect()] == sorted(places[:25])
+    assert resample.sample_exact(df, 6000, "position").count() == 5000
+
+
+def test_intervals_of_means(spark):
+    draw = random.Random(1)
+    rows = [("a" if i % 3 else "b", i, draw.random()) for i in range(60)] + [("c", 99, 0.5), ("d", 100, None)]
+    df = spark.createDataFrame(rows, "model string, place int, value double").repartition(4)
+    found = {r.model: (r.mean, r.lo, r.hi) for r in resample.intervals(df, "model", "value", ["place"]).collect()}
+    assert set(found) == {"a", "b", "c"} and found["c"] == (None, None, None)
+    for m in "ab":
+        own, seeded = [v for k, _, v in rows if k == m], random.Random(7)
+        means = sorted(sum(seeded.choices(own, k=len(own))) / len(own) for _ in range(2000))
+        assert found[m] == (pytest.approx(sum(own) / len(own)), means[50], means[1950])
+
+
+def test_gate_tells_models_apart(spark):
+    rows = []
+    for i in range(40):
+        likely = 0.9 if i % 2 else 0.1
+        rows.append((f"m{i % 2}", "email", f"email.{i % 4}", f"{'one two three four five six ' * 3}. Word {i}.", 5, i, (likely, [likely, None])))
+    schema = "model string, domain string, scenario string, text string, band_hi int, place int, pangram struct<ai_likelihood: double, window_scores: array<double>>"
+    df = spark.createDataFrame(rows, schema)
+    for f in reports.DETECTOR_FIELDS[1:]:
+        df = df.withColumn("pangram", F.col("pangram").withField(f, F.lit(0.5)))
+    found = {(r.kind, r.metric): r for r in reports.go_no_go(df, 200).collect()}
+    assert {r.verdict for r in found.values()} == {"go"}
+    r = found["detector", "ai_likelihood"]
+    assert (r.lowest, r.highest, r.apart) == ("m0", "m1", True) and not found["detector", "fraction_ai"].apart
+    assert found["detector", "min_window"].apart and not found["mechanical", "words"].apart
+    assert ("mechanical", "length inflation (email)") in found and ("mechanical", "opener repetition") in found
+    assert {r.verdict for r in reports.go_no_go(df.drop("pangram"), 200).collect()} == {"incomplete"}
+    flat = df.withColumn("pangram", F.col("pangram").withField("ai_likelihood", F.lit(0.2)).withField("window_scores", F.array(F.lit(0.2))))
+    assert {r.verdict for r in reports.go_no_go(flat, 200).collect()} == {"no-go"}
+    corr = {r.field: (r.r, r.artifact) for r in reports.length_correlations(df.withColumn("pangram", F.col("pangram").withField("fraction_ai", F.length("text").cast("double")))).collect()}
+    assert corr["fraction_human"] == (None, False)
+
+
+def test_synthesis_and_lexical_comparison(spark):
+
+    verdicts = spark.createDataFrame([("email", "delve", "validated"), ("slack", "delve", "validated"), ("slack", "signoff", "busted")], "domain string, tell string, verdict string")
+    bands = spark.createDataFrame([("email", True, False, False), ("slack", False, False, False)], "domain string, floor_too_low boolean, ceiling_too_high boolean, ceiling_too_low boolean")
+    models = spark.createDataFrame([("email", "m", 50.0, 1.0), ("email", "n", 40.0, 3.0), ("slack", "m", 50.0, None)], "domain string, model string, mtld double, para_spread double")
+    human = spark.createDataFrame([("email", 45.0, 2.0), ("slack", 20.0, None)], "domain string, human_mtld double, human_spread double")
+    lexical = reports.lexical_comparison(models, human)
+    assert {(r.domain, r.models, r.above_mtld, r.spread_models, r.below_spread) for r in lexical.collect()} == {("email", 2, 1, 2, 1), ("slack", 1, 1, 0, 0)}
+    found = {(r.section, r.domain, r.finding): r.value for r in reports.synthesis(verdicts, bands, lexical).collect()}
+    assert found == {
+        ("tells", "email", "validated"): "delve", ("tells", "slack", "validated"): "delve", ("tells", "slack", "busted"): "signoff", ("tells", None, "validated in all"): "delve",
+        ("bands", "email", "flags"): "floor_too_low", ("bands", "slack", "flags"): "consistent",
+        ("diversity", "email", "models above people"): "some", ("diversity", "slack", "models above people"): "all",
+        ("flattening", "email", "models below people"): "1/2", ("flattening", "slack", "models below people"): "unknown",
+    }
+
+
+def test_names_prices_and_costs(spark):
+    bench = spark.createDataFrame([("a", 3.0, 10.0), ("b", 9.0, None), ("c", 5.0, 2.0), ("d", None, 3.0)], "model string, score double, blended double")
+    assert tuple(reports.highlights(bench).first()) == ("b", "a", "a", "c")
+    named = reports.with_names(bench, spark.createDataFrame([("a", "A", "Lab")], "model string, name string, lab string")).orderBy("model").collect()
+    assert [(r.name, r.lab) for r in named] == [("A", "Lab"), ("b", ""), ("c", ""), ("d", "")]
+    assert {r.model: r.x for r in reports.price_axis(bench).collect()}["a"] == 1.0
+    assert spark.range(1).select(reports.manual_cost(F.lit(1000), F.lit(500), F.lit(2.0), F.lit(10.0))).first()[0] == pytest.approx(0.007)
+
+
+def test_benchmark_items_of_any_length_are_found(spark):
+    docs = spark.createDataFrame([(1, "a short ONE, here"), (2, "x" * 600 + " the long item that stands past the first part of a text"), (3, None), (4, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "one"), (11, "The long item that stands past the first part"), (12, "!!"), (13, None), (14, "x" * 30)], "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in reports.contained(docs, items).collect()} == {1: 1, 2: 2, 4: 1}
+    assert reports.contained(docs, items.limit(0)).count() == 0

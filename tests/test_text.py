@@ -90,3 +90,77 @@ def test_pearson(spark):
     assert df.limit(2).agg(stats.pearson(F.col("x"), F.col("y"))).first()[0] is None
     flat = spark.createDataFrame([(1.0, float(i)) for i in range(4)], "x double, y double")
     assert flat.agg(stats.pearson(F.col("x"), F.col("y"))).first()[0] is None
+
+
+def plain_mtld(words, threshold=0.72):
+    def one(own):
+        factors, seen, n = 0.0, set(), 0
+        for w in own:
+            seen.add(w)
+            n += 1
+            if len(seen) / n <= threshold:
+                factors, seen, n = factors + 1, set(), 0
+        if n:
+            factors += (1 - len(seen) / n) / (1 - threshold)
+        return len(own) / factors if factors else float(len(own))
+
+    return (one(words) + one(words[::-1])) / 2
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=20, max_size=600))
+def test_lexical_diversity_equals_the_plain_loop(words):
+    own = [f"w{x}" for x in words]
+    assert lexical_diversity(" ".join(own)) == pytest.approx(plain_mtld(own), rel=1e-12)
+
+
+def test_opener_reads_five_tokens(spark):
+    for text in ("'One' two, three-four FIVE six", "a b", "", "...", "x'y 'z' w__ 3.5 q", "é" * 3 + " " + "A" * 3):
+        assert one(spark, text, T.opener) == " ".join(w.lower() for w in re.findall(r"\b[\w']+\b", text)[:5])
+
+
+def test_guards_miss_no_hit(spark):
+    texts = [
+        "I HOPE THIS EMAIL FINDS YOU", "Reached Out", "CIRCLING back; touch BASE", "it's not about x, it's", "İt's NOT ABOUT x; ıt's", "\u212aind regards \u017fincerely", "tape\u017ftry",
+        "Testament To", "DELIGHTED to Announce", "Game-Changing robust\u017f", "DON'T HE\u017fITATE", "Read That Again", "Hı there,", "planning, building, and shipping", "a \t-\n b -- c", "As An Aı", "I apologıze",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    for hits, patterns, multiline in ((T.tell_hits, T.TELLS, True), (T.dash_hits, T.DASHES, False)):
+        for name, column in hits(F.col("text")).items():
+            plain = T.hits(F.col("text"), patterns[name], multiline)
+            assert df.where(~column.eqNullSafe(plain)).collect() == [], name
+
+
+def test_small_functions(spark):
+    def js_hash(text):
+        h = 0
+        data = text.encode("utf-16-be")
+        for i in range(0, len(data), 2):
+            h = (h * 31 + int.from_bytes(data[i : i + 2], "big")) & 0xFFFFFFFF
+        digits, out = "0123456789abcdefghijklmnopqrstuvwxyz", ""
+        while h:
+            h, d = divmod(h, 36)
+            out = digits[d] + out
+        return out or "0"
+
+    for text in ("Mozilla/5.0|en-US|1920x1080|-60", "é😀", ""):
+        assert one(spark, text, T.browser_hash) == js_hash(text)
+    assert one(spark, "**b** *i* `c` <x> & ***", T.mini_markdown) == "<b>b</b> <i>i</i> <code>c</code> &lt;x&gt; &amp; ***"
+    assert [one(spark, x, T.flag) for x in ("DE", "de", None, "D")] == ["\U0001f1e9\U0001f1ea", "\U0001f310", "\U0001f310", "\U0001f310"]
+    ages = [spark.range(1).select(T.ago(F.lit(t), F.lit(10_000_000))).first()[0] for t in (10_000_001, 9_990_500, 9_940_000, 1_000_000, 0)]
+    assert ages == ["0s ago", "10s ago", "1m ago", "3h ago", "3h ago"]
+    scores = [spark.range(1).select(T.marker_score(F.lit(r), F.lit(m))).first()[0] for r, m in ((1.0, 2.0), (40.0, 2.0), (100.0, 2.0), (2.0 * 20**0.5, 2.0), (1.0, 0.0))]
+    assert scores[:3] == [0.0, 100.0, 100.0] and scores[3] == pytest.approx(50.0) and scores[4] is None
+    assert [one(spark, x, T.mode) for x in ("V1", "", None)] == ["reply", "reply", "reply"]
+
+
+def test_address_hash(spark):
+    import base64
+    import hashlib
+    import hmac
+
+    from proseline.functions.python import address_hash
+
+    want = base64.urlsafe_b64encode(hmac.new(b"salt", b"1.2.3.4", hashlib.sha256).digest()).decode()[:22]
+    df = spark.createDataFrame([("1.2.3.4",), (None,)], "a string").select(address_hash("salt")("a"))
+    assert [r[0] for r in df.collect()] == [want, None]
