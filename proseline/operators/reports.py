@@ -77,6 +77,11 @@ def price_axis(scored: DataFrame) -> DataFrame:
     return scored.where("blended is not null").select("model", F.log10("blended").alias("x"), F.col("score").alias("y"))
 
 
+def sorted_distinct(df: DataFrame, *columns: str) -> DataFrame:
+    """The distinct values of columns in order, as a report lists its models or domains."""
+    return df.select(*columns).distinct().orderBy(*columns)
+
+
 def manual_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     return (tokens_in * price_in + tokens_out * price_out) / 1_000_000
 

@@ -134,10 +134,9 @@ def composite(weights: dict[str, float] = WEIGHTS) -> Column:
 def board(scores: DataFrame) -> DataFrame:
     """place, model, overall (mean composite over domains) and one column a domain, highest first, ties by name."""
     own = scores.withColumn("composite", composite())
-    wide = own.groupBy("model").pivot("domain", ["email", "essay", "slack", "social"]).agg(F.first("composite"))
-    overall = own.groupBy("model").agg(F.avg("composite").alias("overall"))
-    found = overall.where("overall is not null").join(wide, "model")
-    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("overall"), "model")))
+    cell = lambda d: F.max(F.when(F.col("domain") == d, F.col("composite"))).alias(d)
+    found = own.groupBy("model").agg(F.avg("composite").alias("overall"), *[cell(d) for d in ("email", "essay", "slack", "social")])
+    return found.where("overall is not null").withColumn("place", F.row_number().over(Window.orderBy(F.desc("overall"), "model")))
 
 
 def axis_table(scores: DataFrame) -> DataFrame:

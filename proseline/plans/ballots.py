@@ -294,9 +294,9 @@ def log_parse(spark: SparkSession, sf: str) -> DataFrame:
     return reports.parse_log(spark.createDataFrame(list(enumerate(LOG.split("\n"))), "n int, value string"))
 
 
-@query()
+@query(ORACLES["rate_limit"])
 def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    """The rate limit as a stream over the events, run to its end; tested equal to the batch fold."""
+    """The rate limit as a stream over the events, run to its end: the same rows as the batch fold gives."""
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     V.votes(spark, sf).select("seq", "t", "iph", "fp").write.parquet(f"{folder}/in")
     source = spark.readStream.schema("seq bigint, t bigint, iph string, fp string").parquet(f"{folder}/in")

@@ -333,6 +333,11 @@ def projected_cost(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(reports.projected_cost(plan, costs))
 
 
+@query(f"SELECT DISTINCT domain, scenario FROM ({V.OUTPUTS_SQL}) o")
+def scenario_roster(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.sorted_distinct(V.outputs(spark, sf), "domain", "scenario")
+
+
 _SALT = "md5(concat_ws(':', '20260714', {}))"
 
 

@@ -62,15 +62,18 @@ def rate_limited(
 
 
 def append_log(folder: str):
-    """A foreachBatch function: the batch's counting votes to the log, its reasons to the tallies. A batch that is run
-    again overwrites what it wrote before.
+    """A foreachBatch function for gated votes (w, l, scenario and reason): the counting votes to the log, outcomes to the
+    tallies, and the votes' models and scenarios to the counters. A batch that is run again overwrites what it wrote before.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        batch.where("reason is null").write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
+        counted = batch.where("reason is null")
         tally = batch.groupBy(F.coalesce("reason", F.lit("counted")).alias("outcome")).agg(F.count("*").alias("n"))
-        tally.write.mode("overwrite").parquet(f"{folder}/tally/batch={number}")
+        games = counted.select(F.explode(F.array("w", "l")).alias("model")).groupBy("model").agg(F.count("*").alias("games"))
+        scenarios = counted.where("scenario is not null").groupBy("scenario").agg(F.count("*").alias("votes"))
+        for name, df in (("log", counted), ("tally", tally), ("games", games), ("scenarios", scenarios)):
+            df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
         batch.unpersist()
 
     return write

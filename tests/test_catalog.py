@@ -30,7 +30,7 @@ def test_stream_equals_batch(spark):
     assert batch == {(r.seq, r.reason) for r in catalog.QUERIES["stream_rate_limit"](spark, SF).collect()}
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - {"stream_rate_limit"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) ))
 def test_queries_without_oracle_run(spark, name):
     """Their operators are compared with plain Python in the other tests."""
     assert catalog.QUERIES[name](spark, SF).count() > 0

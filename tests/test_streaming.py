@@ -6,14 +6,17 @@ from proseline.streaming import votes as stream
 
 
 def test_the_log_is_written_once_a_batch(spark, tmp_path):
-    batch = spark.createDataFrame([(1, "x", None), (2, "x", "rate"), (3, "y", None)], "seq long, iph string, reason string")
+    rows = [(1, "a", "b", "email.1", None), (2, "a", "b", "email.1", "rate"), (3, "b", "c", None, None)]
+    batch = spark.createDataFrame(rows, "seq long, w string, l string, scenario string, reason string")
     write = stream.append_log(str(tmp_path))
     write(batch, 0)
     write(batch, 0)  # as after a failure
     write(batch.where("seq = 3"), 1)
-    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [1, 3, 3]
-    tally = spark.read.parquet(str(tmp_path / "tally")).groupBy("outcome").agg(F.sum("n").alias("n")).collect()
-    assert {r.outcome: r.n for r in tally} == {"counted": 3, "rate": 1}
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    assert sorted(r.seq for r in read("log").collect()) == [1, 3, 3]
+    assert {r.outcome: r.n for r in read("tally").groupBy("outcome").agg(F.sum("n").alias("n")).collect()} == {"counted": 3, "rate": 1}
+    assert {r.model: r.n for r in read("games").groupBy("model").agg(F.sum("games").alias("n")).collect()} == {"a": 1, "b": 3, "c": 2}
+    assert {r.scenario: r.votes for r in read("scenarios").collect()} == {"email.1": 1}
 
 
 def test_hours_are_counted_as_they_come(spark, tmp_path):
