@@ -20,16 +20,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of a small table that one file of it holds.
+FILE_ROWS = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Materialise df in the cluster's shared checkpoint folder and forget its lineage.
 
+    rows, where it is known, is how many rows df has at most: a table of few rows then becomes few files.
+
     The folder is the session's spark.checkpoint.dir. A local session without one, as in a notebook, gets a temporary
     folder; a cluster's session without one is an error, since its executors share no local folder.
     """
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     return df.checkpoint(eager=True)
 
 
+#: Rows in an Arrow batch. A batch of Spark's own 10,000 texts costs an executor some 400 MB more than one of 500.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+
+
+def settings(spark: SparkSession) -> None:
+    """What the registered queries and the pipeline, not the operators, set in their session where it leaves that open."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this application."""
     context = spark.sparkContext

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseline.llm import chat, langid, licenses, media, mixing, packing, pages, quality, simhash, suffix
-from proseline.llm.common import table
+from proseline.llm.common import settings
+from proseline.llm.common import table as read
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settings(spark)
+    return read(spark, sf_dir, name)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
