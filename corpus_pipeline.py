@@ -7,18 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from proseline.llm import langid, mixing, packing, simhash, suffix
-from proseline.llm.common import store, table
-
-
-#: Rows in an Arrow batch. A batch of Spark's own 10,000 texts costs an executor some 400 MB more than one of 500.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
-
-
-def settings(spark: SparkSession) -> None:
-    """What this application sets in its session, where the session itself leaves it open."""
-    if spark.conf.get(BATCH, None) is None:
-        spark.conf.set(BATCH, str(BATCH_ROWS))
-
+from proseline.llm.common import settings, store, table
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents without a main language go."""

@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        # a round never has more edges than the one before
+        star = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), now.n)
     return star.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         star.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

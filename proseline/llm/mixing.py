@@ -122,13 +122,13 @@ def mix(
     rows = sized.groupBy("source").agg(F.count("*").alias("_rows"))
     known = rows.select(F.col("source").alias("_source"), F.ceil(F.col("_rows") / SHARD).alias("_shards"))
     spread = F.conv(F.substring(F.md5(F.concat("_key", F.col("size").cast("string"))), 1, 8), 16, 10).cast("bigint")
-    dealt = cut(
+    dealt = (
         sized.join(known, F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("shard", F.pmod(spread, F.col("_shards")).cast("bigint"))
         .drop("_source", "_shards")
     )
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("size")).withColumn("_all", F.lit(0))
-    given = quotas(cut(shards), block, share, limit, weights).select(
+    given = quotas(cut(shards.coalesce(1)), block, share, limit, weights).select(
         F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", "source_size", "target", "quota"
     )
     line = Window.partitionBy("source", "shard").orderBy("_key", "doc_id", "size")

@@ -129,9 +129,10 @@ def classes(prints: DataFrame, first: Column) -> DataFrame:
     return cut(prints.groupBy("fp").agg(F.count("*").alias("n"), first.alias("first")))
 
 
-def class_links(found: DataFrame) -> DataFrame:
-    """links between the classes; segments get narrower where there are very many."""
-    return links(found.select("fp"), 2 if found.count() <= WIDE else 1)
+def class_links(found: DataFrame) -> tuple[DataFrame, int]:
+    """links between the classes, and how many classes there are; segments get narrower where there are very many."""
+    n = found.count()
+    return links(found.select("fp"), 2 if n <= WIDE else 1), n
 
 
 def rooted(found: DataFrame, edges: DataFrame) -> DataFrame:
@@ -150,7 +151,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     prints = cut(fingerprints(docs, shingle))
     found = classes(prints, F.min("doc_id"))
-    joined = cut(rooted(found, class_links(found)))
+    edges, n = class_links(found)
+    joined = cut(rooted(found, edges), n)
     reach = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.join(reach, "root").select("fp", "component_id")
     return split_join(prints, named, ["fp"], found).select(
@@ -158,13 +160,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     )
 
 
-def met(cells: DataFrame, order: Column) -> DataFrame:
+def met(cells: DataFrame, order: Column, rows: int | None = None) -> DataFrame:
     """(cell, node) -> distinct (a, b, n): each node and, in each of its cells, the node that comes first there; n is the
     size of the largest cell where they met. Cells are combined before the shuffle, and each gives fewer links than it
     has nodes, so a large group of near copies gives a number of links in proportion to its size.
     """
     least = cells.groupBy("cell").agg(F.min_by("node", order).alias("b"), F.count("*").alias("n")).where("n > 1")
-    least = cut(least)
+    least = cut(least, rows)
     found = split_join(cells, least, ["cell"], least).where("node <> b")
     return found.groupBy(F.col("node").alias("a"), "b").agg(F.max("n").alias("n"))
 
@@ -177,37 +179,38 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return own.where("_ra <> _rb").select("a", "b", "n")
 
 
-def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """roots (node, root) after the nodes of each edge (a, b) are joined."""
+def merged(roots: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """roots (node, root; n rows) after the nodes of each edge (a, b) are joined."""
     over = edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a").join(
         roots.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b"
     )
     up = components(over.select(F.col("_ra").alias("a"), F.col("_rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("_up"))
-    return cut(roots.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root")))
+    return cut(roots.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root")), n)
 
 
-def joined_by_similarity(docs: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int, least: float) -> DataFrame:
+def joined_by_similarity(docs: DataFrame, nodes: DataFrame, roots: DataFrame, n: int, shingle: int, least: float) -> DataFrame:
     """roots (node, root) after nodes whose texts have a Jaccard similarity of `least` or more over shingles are joined.
 
-    nodes has node, the keys of its row of docs (doc_id, _t) and bands. Nodes meet in the cells of single bands, and each
+    nodes (n rows) has node, the keys of its row of docs (doc_id, _t) and bands. Nodes meet in the cells of single bands, and each
     is verified against the first node there, on whole sets of shingles; what is joined already needn't be. Where a cell
     of more than two has a node that isn't similar to the first, all nodes that met that one meet again in the cells of
     every two bands, one of each group that is joined by then, with a first one that a hash draws: so unrelated documents
     that share a long passage part from each other, and none of them stands between two similar ones.
     """
     seeds = F.col("bands")
-    pairs = cut(met(nodes.select("node", F.explode("bands").alias("cell")), F.col("node")))
+    pairs = cut(met(nodes.select("node", F.explode("bands").alias("cell")), F.col("node"), n * BANDS // 2), n * BANDS)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = nodes.select("node", "doc_id", "_t").join(asked, "node", "left_semi")
     texts = docs.select("doc_id", "_t", "text").join(asked, ["doc_id", "_t"]).dropDuplicates(["doc_id", "_t"])
-    sets = cut(shingle_sets(texts, shingle))
+    # these tables are small in rows, but their rows are long or dear
+    sets = cut(shingle_sets(texts, shingle), 20 * n)
     # one pair a node first: of a large group of near copies, that leaves few to verify
     single = pairs.groupBy("a").agg(F.min("b").alias("b"), F.min_by("n", "b").alias("n"))
-    first = cut(verified(apart(single, roots), sets, least))
-    roots = merged(roots, first.where("similar").select("a", "b"))
+    first = cut(verified(apart(single, roots), sets, least), 10 * n)
+    roots = merged(roots, first.where("similar").select("a", "b"), n)
     rest = pairs.join(single.select("a", "b"), ["a", "b"], "left_anti")
-    second = cut(verified(apart(rest, roots), sets, least))
-    roots = merged(roots, second.where("similar").select("a", "b"))
+    second = cut(verified(apart(rest, roots), sets, least), 10 * n)
+    roots = merged(roots, second.where("similar").select("a", "b"), n)
     done = first.unionByName(second)
     failed = done.where("not similar and n > 2").select("b").distinct()
     again = pairs.join(failed, "b", "left_semi").select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -216,7 +219,7 @@ def joined_by_similarity(docs: DataFrame, nodes: DataFrame, roots: DataFrame, sh
     double = nodes.where(F.size(seeds) > 1).join(again, "node", "left_semi").join(roots, "node").select("node", "root", F.explode(two).alias("cell"))
     double = double.groupBy("cell", "root").agg(F.min_by("node", F.xxhash64("cell", "node")).alias("node")).select("cell", "node")
     more = met(double, F.xxhash64("cell", "node")).join(done.select("a", "b"), ["a", "b"], "left_anti")
-    return merged(roots, verified(more, sets, least).where("similar").select("a", "b"))
+    return merged(roots, verified(more, sets, least).where("similar").select("a", "b"), n)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -261,11 +264,12 @@ def keep_first(docs: DataFrame, shingle: int = 3, similar: float | None = 0.8, s
     docs = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
     prints = cut(fingerprints(docs.where("doc_id is not null"), shingle, ("doc_id", "_t"), bands if similar is not None else 0, similar_shingle))
     found = classes(prints, F.min(F.struct("doc_id", "_t", "fp")))
-    joined = cut(rooted(found, class_links(found)))
+    edges, n = class_links(found)
+    joined = cut(rooted(found, edges), n)
     if similar is not None:
         own = found.select(F.col("fp").alias("node"), "first.doc_id", "first._t")
-        nodes = cut(own.join(prints.select("doc_id", "_t", "bands"), ["doc_id", "_t"]).dropDuplicates(["doc_id", "_t"]))
-        roots = joined_by_similarity(docs, nodes, joined.select(F.col("fp").alias("node"), "root"), similar_shingle, similar)
+        nodes = cut(own.join(prints.select("doc_id", "_t", "bands"), ["doc_id", "_t"]).dropDuplicates(["doc_id", "_t"]), n)
+        roots = joined_by_similarity(docs, nodes, joined.select(F.col("fp").alias("node"), "root"), n, similar_shingle, similar)
         joined = found.join(roots.withColumnRenamed("node", "fp"), "fp")
     kept = joined.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     kept = docs.join(kept.select("doc_id", "_t"), ["doc_id", "_t"], "left_semi")

@@ -162,7 +162,7 @@ def repeated(docs: DataFrame, least: int = LEAST, span: int = SPAN, later_only:
     # a document that shares only the words from a run's end on may have another suffix there, within span places of it
     of = Window.partitionBy("doc_id", "counted", "run")
     beside = (F.col("pos") - F.min("pos").over(of) < span) | (F.max("pos").over(of) - F.col("pos") < span)
-    asked = cut(marks.where("counted").withColumn("beside", beside).where("beside").groupBy("key").agg(F.first("n").alias("n")))
+    asked = marks.where("counted").withColumn("beside", beside).where("beside").groupBy("key").agg(F.first("n").alias("n"))
     wanted = split_join(marks.drop("n"), asked.select("key"), ["key"], asked).select("doc_id", "pos", (F.col("first") | F.col("last")).alias("edge"), "run")
     more = extensions(cut(passages(docs, wanted, least, span)), least, later_only)
     runs = marks.where("counted").groupBy("doc_id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + size).alias("end"))
