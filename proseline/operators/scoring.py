@@ -108,6 +108,7 @@ def axes(sums: DataFrame, human: DataFrame, by: tuple[str, ...] = ("model", "dom
         for t in SCORED_TELLS
     ]
     given = F.filter(F.array(*scores), lambda x: x.isNotNull())
+    mean = lambda g: F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, x: a + x) / F.size(g))
     floor = 1 / F.col("_size")
     return known.select(
         *by,
@@ -120,7 +121,7 @@ def axes(sums: DataFrame, human: DataFrame, by: tuple[str, ...] = ("model", "dom
             F.col("human_spread") > 0,
             F.least(F.lit(100.0), 100 * F.greatest(F.lit(0.0), 1 - F.col("_spread") / F.col("human_spread"))),
         ).alias("rhythm"),
-        F.when(F.size(given) > 0, F.aggregate(given, F.lit(0.0), lambda a, x: a + x) / F.size(given)).alias("tells"),
+        T.once(given, mean).alias("tells"),
     )
 
 

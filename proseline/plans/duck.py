@@ -77,3 +77,19 @@ def nearest(column: str, point: float, order: str | None = None) -> str:
     """Nearest-rank percentile of a group: the value at place floor(point * n)."""
     own = f"list(CAST({column} AS DOUBLE) ORDER BY {column}) FILTER (WHERE {column} IS NOT NULL)"
     return f"({own})[least(CAST(floor({point} * count({column})) AS BIGINT), count({column}) - 1) + 1]"
+
+
+def mtld(words: str) -> str:
+    """Lexical diversity of a list of tokens in lower case: a reduction over the tokens, each way."""
+
+    def one(own: str) -> str:
+        kinds = "CASE WHEN list_contains(a.s, x.s[1]) THEN a.s ELSE list_append(a.s, x.s[1]) END"
+        state = lambda f, s, n: f"{{'f': {f}, 's': {s}, 'n': {n}}}"
+        none = "CAST([] AS VARCHAR[])"
+        step = f"CASE WHEN len({kinds}) / (a.n + 1) <= 0.72 THEN {state('a.f + 1', none, 'CAST(0 AS BIGINT)')} ELSE {state('a.f', kinds, 'a.n + 1')} END"
+        rows = f"list_transform({own}, lambda t: {state('CAST(0 AS DOUBLE)', '[t]', 'CAST(0 AS BIGINT)')})"
+        end = f"list_reduce({rows}, lambda a, x: {step}, {state('CAST(0 AS DOUBLE)', none, 'CAST(0 AS BIGINT)')})"
+        total = "z.f + CASE WHEN z.n > 0 THEN (1 - len(z.s) / z.n) / (1 - 0.72) ELSE 0 END"
+        return f"list_transform([{end}], lambda z: CASE WHEN {total} > 0 THEN len({words}) / ({total}) ELSE CAST(len({words}) AS DOUBLE) END)[1]"
+
+    return f"CASE WHEN len({words}) >= 20 THEN ({one(words)} + {one(f'list_reverse({words})')}) / 2 END"

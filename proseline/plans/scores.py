@@ -220,9 +220,20 @@ def validated_all_domains(spark: SparkSession, sf: str) -> DataFrame:
     return reports.validated_everywhere(_verdicts(spark, sf))
 
 
-@query()
+def _lexical(view: str) -> str:
+    words = f"list_transform({D.tokens('text')}, lambda w: lower(w))"
+    return f"SELECT *, {D.mtld('w')} AS mtld, {D.spread('pl')} AS ps FROM (SELECT *, {words} AS w, {D.paragraphs('text')} AS pl FROM ({view}) v) y"
+
+
+_LEXICAL = f"""lo AS (SELECT domain, model, avg(mtld) AS mtld, avg(ps) AS ps FROM ({_lexical(V.OUTPUTS_SQL)}) x GROUP BY 1, 2),
+lh AS (SELECT domain, avg(mtld) AS hm, avg(ps) AS hs FROM ({_lexical(V.HUMAN_SQL)}) x GROUP BY 1),
+lx AS (SELECT domain, hm AS human_mtld, hs AS human_spread, count(mtld) AS models, CAST(coalesce(sum(CAST(mtld > hm AS INT)), 0) AS BIGINT) AS above_mtld,
+  count(ps) AS spread_models, CAST(coalesce(sum(CAST(ps < hs AS INT)), 0) AS BIGINT) AS below_spread FROM lo JOIN lh USING (domain) GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_LEXICAL} SELECT domain, round(human_mtld, {R}) AS human_mtld, round(human_spread, {R}) AS human_spread, models, above_mtld, spread_models, below_spread FROM lx")
 def lexical_vs_human(spark: SparkSession, sf: str) -> DataFrame:
-    """With lexical diversity, a loop; tested against plain Python."""
+    """Models and people, by lexical diversity and the spread of paragraphs."""
     measure = lambda df: df.withColumns({"mtld": mtld(F.col("text")), "spread": T.paragraph_spread(F.col("text"))})
     models = measure(V.outputs(spark, sf)).groupBy("domain", "model").agg(F.avg("mtld").alias("mtld"), F.avg("spread").alias("para_spread"))
     human = measure(V.human(spark, sf)).groupBy("domain").agg(F.avg("mtld").alias("human_mtld"), F.avg("spread").alias("human_spread"))
@@ -238,12 +249,6 @@ def go_no_go(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(reports.go_no_go(rows))
 
 
-@query()
-def synthesis(spark: SparkSession, sf: str) -> DataFrame:
-    """All domains' findings in one report; its parts have oracles of their own."""
-    return reports.synthesis(_verdicts(spark, sf), band_check(spark, sf), lexical_vs_human(spark, sf))
-
-
 _BANDS = [(d, 10 * i + lo, hi * (i + 1)) for d, lo, hi in (("email", 20, 120), ("essay", 80, 300), ("slack", 5, 60), ("social", 5, 40)) for i in range(3)]
 _BAND_VALUES = ", ".join(f"('{d}', {lo}, {hi})" for d, lo, hi in _BANDS)
 
@@ -264,6 +269,21 @@ def band_check(spark: SparkSession, sf: str) -> DataFrame:
     return reports.band_check(bands, stats.percentiles(rows, "n_words", ["domain"]))
 
 
+@query(
+    f"""WITH {_MARKERS}, {_LEXICAL}, bc AS ({ORACLES['band_check']}),
+va AS (SELECT tell FROM d WHERE verdict = 'validated' GROUP BY 1 HAVING count(DISTINCT domain) = (SELECT count(DISTINCT domain) FROM d))
+SELECT 'tells' AS section, domain, verdict AS finding, string_agg(tell, ', ' ORDER BY tell) AS value FROM d WHERE verdict IN ('validated', 'busted') GROUP BY domain, verdict
+UNION ALL SELECT 'tells', NULL, 'validated in all', coalesce((SELECT string_agg(tell, ', ' ORDER BY tell) FROM va), '')
+UNION ALL SELECT 'bands', domain, 'flags', coalesce(nullif(concat_ws(', ', CASE WHEN floor_too_low THEN 'floor_too_low' END, CASE WHEN ceiling_too_high THEN 'ceiling_too_high' END,
+  CASE WHEN ceiling_too_low THEN 'ceiling_too_low' END), ''), 'consistent') FROM bc
+UNION ALL SELECT 'diversity', domain, 'models above people', CASE WHEN models = 0 OR above_mtld = 0 THEN 'none' WHEN above_mtld = models THEN 'all' ELSE 'some' END FROM lx WHERE human_mtld IS NOT NULL
+UNION ALL SELECT 'flattening', domain, 'models below people', CASE WHEN human_spread IS NULL THEN 'unknown' ELSE concat(below_spread, '/', spread_models) END FROM lx"""
+)
+def synthesis(spark: SparkSession, sf: str) -> DataFrame:
+    """All domains' findings in one report."""
+    return reports.synthesis(_verdicts(spark, sf), band_check(spark, sf), lexical_vs_human(spark, sf))
+
+
 @query(
     f"""WITH o AS ({V.OUTPUTS_SQL}), m AS (SELECT model, domain, greatest(0.0, {D.n_tokens('text')} / band_hi - 1) AS i FROM o)
 SELECT model, {', '.join(f"coalesce(round(avg(i) FILTER (WHERE domain = '{d}'), {R}), 0) AS {d}" for d in ('email', 'essay', 'slack', 'social'))},

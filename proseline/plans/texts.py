@@ -140,9 +140,12 @@ def intent_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return stats.percentiles(rows, "n_words", ["intent"])
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT source, list_transform({D.tokens('text')}, lambda w: lower(w)) AS w FROM documents), m AS (SELECT source, {D.mtld('w')} AS v FROM t)
+SELECT source, count(v) AS n, round(avg(v), {R}) AS mtld FROM m GROUP BY 1"""
+)
 def mtld_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    """Lexical diversity is a loop over tokens: an Arrow function, tested against plain Python."""
+    """Lexical diversity is a loop over tokens: an Arrow function."""
     rows = V.table(spark, sf, "documents").select("source", mtld("text").alias("mtld"))
     return rows.groupBy("source").agg(F.count("mtld").alias("n"), F.round(F.avg("mtld"), R).alias("mtld"))
 
@@ -278,9 +281,14 @@ def clean_tweets(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "documents").select("doc_id", F.md5(cleaning.clean_post(raw)).alias("digest"))
 
 
-@query()
+@query(
+    f"""WITH u AS (SELECT page_id, replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM pages),
+c AS (SELECT page_id, {D.stripped("regexp_replace(regexp_replace(regexp_replace(t, '\\burlLink\\b', ' ', 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM u)
+SELECT page_id, md5(t) AS digest, length(t) AS n_chars FROM c"""
+)
 def clean_posts(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages' HTML as post texts: character references and Windows-1252 code points repaired."""
+    """Pages' HTML as post texts: character references and Windows-1252 code points repaired. The oracle knows the four
+    references that the pages have; all others are tested against plain Python."""
     pages = V.table(spark, sf, "pages").select("page_id", cleaning.clean_essay(F.col("html")).alias("t"))
     return pages.select("page_id", F.md5("t").alias("digest"), F.length("t").cast("bigint").alias("n_chars"))
 
@@ -294,7 +302,37 @@ def clean_chats(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.md5(cleaning.clean_chat(F.concat(F.lit("> "), F.col("text")))).alias("digest"))
 
 
-@query()
+def _has(x: str, pattern: str, flags: str = "(?i)") -> str:
+    return f"regexp_matches({x}, {D.quoted(flags + pattern)})"
+
+
+_FIRST_LINE = D.stripped("ln[1]")
+_LOST = "(?:" + "|".join(f"(?:{p})" for p in cleaning.LOST_LINES) + ")"
+
+
+@query(
+    f"""{OUT.replace("WITH", "WITH RECURSIVE")}, b0 AS (SELECT doc_id AS path, list_filter(string_split_regex(text, '\n\s*\n+'), lambda x: regexp_matches(x, '\S')) AS bl FROM o),
+b1 AS (SELECT path, unnest(bl) AS block, unnest(range(1, len(bl) + 1)) AS k FROM b0),
+b2 AS (SELECT path, k, block, {D.n_tokens('block')} AS w, string_split_regex({D.stripped('block')}, '\r\n|[\n\r\x0b\x0c]') AS ln FROM b1),
+b AS MATERIALIZED (SELECT path, k, block, w, CASE WHEN {_has(D.stripped('block'), cleaning.RESIDUAL_HEADER, '(?im)')} THEN 'noise'
+  WHEN {_has(_FIRST_LINE, cleaning.GREETING)} OR len(ln) <= 2 AND {_has(_FIRST_LINE, cleaning.NAME_COMMA, '')} THEN 'greeting'
+  WHEN len(ln) <= 2 AND ({_has(_FIRST_LINE, cleaning.SIGNOFF)} OR {_has(_FIRST_LINE, cleaning.BARE_NAME, '')}) THEN 'signoff' ELSE 'body' END AS kind FROM b2),
+f AS (
+  SELECT path, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS number, CAST(0 AS BIGINT) AS own FROM b GROUP BY path
+  UNION ALL
+  SELECT b.path, b.k, CASE WHEN x.held >= 40 AND kind = 'body' OR x.size >= 700 AND kind = 'body' THEN 0 ELSE x.held END,
+    CASE WHEN (x.held >= 40 OR x.size >= 700) AND kind = 'body' THEN 0 ELSE x.size END, x.number, x.own
+  FROM f JOIN b ON b.path = f.path AND b.k = f.k + 1, LATERAL (SELECT
+    CASE kind WHEN 'noise' THEN 0 WHEN 'greeting' THEN 1 WHEN 'signoff' THEN 0 ELSE f.held + 1 END AS held,
+    CASE kind WHEN 'greeting' THEN w WHEN 'body' THEN f.size + w ELSE 0 END AS size,
+    CASE WHEN kind = 'greeting' OR kind = 'body' AND f.held = 0 THEN f.number + 1 ELSE f.number END AS number,
+    CASE WHEN kind = 'noise' OR kind = 'signoff' AND f.held = 0 THEN 0 WHEN kind = 'greeting' OR kind = 'body' AND f.held = 0 THEN f.number + 1 ELSE f.number END AS own) x),
+m AS (SELECT path, own, string_agg(block, chr(10) || chr(10) ORDER BY k) AS text FROM f JOIN b USING (path, k) WHERE own > 0 GROUP BY 1, 2),
+l AS (SELECT path, own, string_split(text, chr(10)) AS ls FROM m),
+e AS (SELECT path, own, ls, coalesce(list_position(list_transform(ls, lambda x: {_has('x', cleaning.FORWARDED)}), true), 0) AS first FROM l),
+c AS (SELECT path, own, array_to_string(list_filter(CASE WHEN first > 0 THEN list_slice(ls, 1, first - 1) ELSE ls END, lambda x: NOT {_has('x', _LOST)}), chr(10)) AS text FROM e)
+SELECT path, CAST(own - 1 AS INT) AS position, {D.n_tokens(D.stripped("regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')"))} AS n_words FROM c"""
+)
 def email_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Decorated texts as undelimited mail files, cut into messages and cleaned."""
     files = V.outputs(spark, sf).select(F.col("doc_id").alias("path"), "text")

@@ -67,6 +67,32 @@ def test_clean_message(spark):
     assert essay.select(cleaning.clean_essay(F.col("text"))).first()[0] == "it’s \x81 here"
 
 
+def test_first_failing_stage_of_each_corpus(spark):
+    prose = "We are going to the shop and you will have all of it there, so please do not wait for me. " * 12
+    cases = [
+        ("essay", "Take this quiz !", "x", "template"), ("essay", "You are a cat. What cat are you?", "x", "template"), ("essay", prose, prose, None), ("essay", prose, "too short", "word_count"),
+        ("social", "RT @someone hello there", "hello there", "retweet"), ("social", "we are here", "we are here", None), ("social", "WE ARE ALL HERE", "WE ARE ALL HERE", "register"),
+        ("slack", "!play song", "!play song", "command"), ("slack", "Bob has joined the server", "x", "bot_template"), ("slack", "```code```", "", "code_only"),
+        ("slack", "https://x.y/z", "https://x.y/z", "url_only"), ("slack", "it is fine now", "it is fine now", None), ("slack", "это не так важно для всех нас сейчас", "это не так важно для всех нас сейчас", "english"),
+        ("email", prose[:400], prose[:400], None), ("email", prose[:400].upper(), prose[:400].upper(), "register"), ("email", None, None, "word_count"),
+    ]
+    for domain in ("essay", "social", "slack", "email"):
+        own = [(raw, text, want) for d, raw, text, want in cases if d == domain]
+        df = spark.createDataFrame(own, "raw string, text string, want string")
+        tests = cleaning.stages(domain, F.col("raw"), F.col("text"))
+        failed = cleaning.first_failure([(n, c) for n, c in tests])
+        assert [(r.raw, r.failed) for r in df.withColumn("failed", failed).where("not (failed <=> want)").collect()] == [], domain
+
+
+def test_character_references_are_decoded(spark):
+    import html
+
+    texts = ["&lt;&#39;&#x2019;&hellip;&notit;&amp;lt; &amp &am &unknown; &NotEqualTilde;", "\x80\x85\x9f \x81", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = [r[0] for r in df.select(cleaning.clean_essay(F.col("text"))).collect()]
+    assert found == [html.unescape(texts[0]), "€…Ÿ \x81", None]
+
+
 def test_turns(spark):
     t = datetime(2024, 1, 1)
     rows = [("c", t, 1, "a", "one two"), ("c", t + timedelta(minutes=5), 2, "a", "three"), ("c", t + timedelta(minutes=16), 3, "a", "late"), ("c", t + timedelta(minutes=17), 4, "b", "x")]
