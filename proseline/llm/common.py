@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows of a small table that one file of it holds.
-FILE_ROWS = 100_000
+FILE_ROWS = 25_000
 
 
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:

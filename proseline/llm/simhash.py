@@ -31,6 +31,8 @@ WIDE = 1 << 22
 #: Bands of least shingle hashes that bring similar documents together, and hashes in each. Two texts of similarity 0.8 share
 #: a band with a chance of 0.992, of 0.9 with one of 0.999995.
 BANDS, BAND_ROWS = 16, 6
+#: Pairs, and bytes of sets, up to which they are broadcast.
+FEW_PAIRS, FEW_BYTES = 500_000, 32 << 20
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -203,13 +205,13 @@ def joined_by_similarity(docs: DataFrame, nodes: DataFrame, roots: DataFrame, n:
     asked = nodes.select("node", "doc_id", "_t").join(asked, "node", "left_semi")
     texts = docs.select("doc_id", "_t", "text").join(asked, ["doc_id", "_t"]).dropDuplicates(["doc_id", "_t"])
     # these tables are small in rows, but their rows are long or dear
-    sets = cut(shingle_sets(texts, shingle), 20 * n)
+    sets = cut(shingle_sets(texts, shingle), 8 * n)
     # one pair a node first: of a large group of near copies, that leaves few to verify
     single = pairs.groupBy("a").agg(F.min("b").alias("b"), F.min_by("n", "b").alias("n"))
-    first = cut(verified(apart(single, roots), sets, least), 10 * n)
+    first = cut(verified(apart(single, roots), sets, least, n), 4 * n)
     roots = merged(roots, first.where("similar").select("a", "b"), n)
     rest = pairs.join(single.select("a", "b"), ["a", "b"], "left_anti")
-    second = cut(verified(apart(rest, roots), sets, least), 10 * n)
+    second = cut(verified(apart(rest, roots), sets, least, n * BANDS), 4 * n)
     roots = merged(roots, second.where("similar").select("a", "b"), n)
     done = first.unionByName(second)
     failed = done.where("not similar and n > 2").select("b").distinct()
@@ -219,7 +221,7 @@ def joined_by_similarity(docs: DataFrame, nodes: DataFrame, roots: DataFrame, n:
     double = nodes.where(F.size(seeds) > 1).join(again, "node", "left_semi").join(roots, "node").select("node", "root", F.explode(two).alias("cell"))
     double = double.groupBy("cell", "root").agg(F.min_by("node", F.xxhash64("cell", "node")).alias("node")).select("cell", "node")
     more = met(double, F.xxhash64("cell", "node")).join(done.select("a", "b"), ["a", "b"], "left_anti")
-    return merged(roots, verified(more, sets, least).where("similar").select("a", "b"), n)
+    return merged(roots, verified(more, sets, least, n * BANDS * BANDS // 2).where("similar").select("a", "b"), n)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -234,8 +236,12 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", body().alias("body")).mapInArrow(run, "node bigint, grams binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b, n) with similar. b, the node that many are compared with, is joined in parts."""
+def verified(pairs: DataFrame, sets: DataFrame, least: float, rows: int) -> DataFrame:
+    """pairs (a, b, n; at most `rows`) with similar.
+
+    Few pairs are sent to the sets, and the sets of the few nodes that the pairs are compared with sent to the pairs, both
+    after their size is known; beyond that both are shuffled, and b, the node that many are compared with, is dealt in parts.
+    """
 
     def run(batches):
         for batch in slices(batches):
@@ -246,9 +252,15 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keep, pa.bool_())], names=["a", "b", "n", "similar"])
 
-    many = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("_ga")), "a")
-    joined = split_join(joined, sets.select(F.col("node").alias("b"), F.col("grams").alias("_gb")), ["b"], many)
+    pairs = cut(pairs, rows)
+    few = pairs.count() <= FEW_PAIRS
+    some = (lambda x: F.broadcast(x)) if few else (lambda x: x)
+    joined = sets.select(F.col("node").alias("a"), F.col("grams").alias("_ga")).join(some(pairs), "a")
+    leads = sets.select(F.col("node").alias("b"), F.col("grams").alias("_gb")).join(some(pairs.select("b").distinct()), "b", "left_semi")
+    if few and (leads.agg(F.sum(F.octet_length("_gb") + 32)).first()[0] or 0) <= FEW_BYTES:
+        joined = joined.join(F.broadcast(leads), "b")
+    else:
+        joined = split_join(joined, leads, ["b"], pairs.groupBy("b").agg(F.count("*").alias("n")))
     return joined.select("a", "b", "n", "_ga", "_gb").mapInArrow(run, "a bigint, b bigint, n bigint, similar boolean")
 
 
