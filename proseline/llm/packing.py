@@ -14,7 +14,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,9 @@ END_ID = 2
 #: Pieces in a bucket of one length, about.
 BUCKET = 20_000
 #: Words that a worker remembers, and characters of the longest of them.
-REMEMBERED, LONGEST = 350_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 #: Words that a worker may hold between tasks.
-BETWEEN_TASKS = 350_000
+BETWEEN_TASKS = 600_000
 #: New words that are encoded as one text.
 TOGETHER = 512
 #: Marks that may end a word; an apostrophe is none, as what follows it may belong to it.
@@ -66,7 +66,6 @@ class Encoder:
         self.size = np.zeros(max(words.values()) + 1, np.int64)
         self.size[list(words.values())] = list(map(len, words))
         self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
         self.inner = re.compile(r" (?!\S)")
         self.starts = re.compile(r" (?=\S)")
@@ -97,41 +96,43 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(SPACE + text)]).tobytes()
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
-        if len(self.stems) + len(chunks) > REMEMBERED:
-            self.stems.clear()
-        parts, whole, stems = [], [], set()
-        for x in chunks:
-            if x not in self.known and len(x) <= LONGEST:
-                # letters, then marks: the pre-tokeniser parts these
-                stem = x.rstrip(MARKS)
-                if stem.isalpha():
-                    parts.append((x, stem, x[len(stem) :]))
-                    if stem not in self.stems:
-                        stems.add(stem)
-                else:
-                    whole.append(x)
-        self.stems.update((x, self.letters(x)) for x in stems)
-        self.known.update(zip(whole, self.together(whole), strict=True))
-        for x, stem, mark in parts:
-            if (after := self.marks.get(mark)) is None:
-                after = self.marks[mark] = self.ids(mark)
-            self.known[x] = self.stems[stem] + after
+        """Remember the ids of all chunks but very long ones. Letters, then marks: the pre-tokeniser parts these."""
+        known = self.known
+        if len(known) + len(chunks) > REMEMBERED:
+            known.clear()
+        new = chunks.difference(known)
+        plain = {x for x in new if x.isalpha() and len(x) <= LONGEST}
+        rest = [x for x in new.difference(plain) if len(x) <= LONGEST]
+        stems = [x.rstrip(MARKS) for x in rest]
+        parted = [x.isalpha() for x in stems]
+        plain.update(compress(stems, parted))
+        for x in plain.difference(known):
+            known[x] = self.letters(x)
+        whole = [x for x, p in zip(rest, parted, strict=True) if not p]
+        known.update(zip(whole, self.together(whole), strict=True))
+        marks = self.marks
+        for x, stem in compress(zip(rest, stems, strict=True), parted):
+            mark = x[len(stem) :]
+            if (after := marks.get(mark)) is None:
+                after = marks[mark] = self.ids(mark)
+            known[x] = known[stem] + after
 
     def trim(self) -> None:
         """Forget what a worker between tasks shouldn't hold."""
-        if len(self.known) + len(self.stems) > BETWEEN_TASKS:
+        if len(self.known) > BETWEEN_TASKS:
             self.known.clear()
 
     def many(self, texts: list[str]) -> list[bytes]:
         split = [self.starts.split(x) if self.inner.search(x) else x.split(" ") for x in texts]
         self.learn(set(chain.from_iterable(x[1:] for x in split)))
-        get = self.known.get
-        return [
-            b"".join([self.ids(x[0]), *(y if (y := get(c)) is not None else self.ids(f" {c}") for c in x[1:])])
-            for x in split
-        ]
+        find, out = self.known.__getitem__, []
+        for first, *rest in split:
+            try:
+                found = b"".join(map(find, rest))
+            except KeyError:  # a chunk that is too long to remember
+                found = b"".join([y if (y := self.known.get(c)) is not None else self.ids(f" {c}") for c in rest])
+            out.append(self.ids(first) + found)
+        return out
 
 
 @lru_cache(maxsize=1)
