@@ -264,8 +264,9 @@ def gate_measures(outputs: DataFrame) -> DataFrame:
         found += [metric("detector", F.lit("flagged_rate"), F.when(likely.isNotNull(), (likely >= 0.5).cast("double")))]
     each = outputs.select("model", "place", F.explode(F.array(*found)).alias("m")).select("m.kind", "m.metric", "model", "place", "m.value")
     counts = outputs.groupBy("model", "scenario", T.opener(F.col("text")).alias("opener")).agg(F.count("*").alias("k"), F.min("place").alias("place"))
-    repeats = counts.groupBy("model", "scenario").agg((F.max("k") / F.sum("k")).alias("value"), F.min("place").alias("place"), F.sum("k").alias("n"))
-    repeats = repeats.where("n >= 2").select(F.lit("mechanical").alias("kind"), F.lit("opener repetition").alias("metric"), "model", "place", "value")
+    # a scenario with one text counts as all alike here, unlike in the templating axis
+    repeats = counts.groupBy("model", "scenario").agg((F.max("k") / F.sum("k")).alias("value"), F.min("place").alias("place"))
+    repeats = repeats.select(F.lit("mechanical").alias("kind"), F.lit("opener repetition").alias("metric"), "model", "place", "value")
     return each.where("value is not null").unionByName(repeats)
 
 

@@ -310,3 +310,35 @@ def test_benchmark_items_of_any_length_are_found(spark):
     items = spark.createDataFrame([(10, "one"), (11, "The long item that stands past the first part"), (12, "!!"), (13, None), (14, "x" * 30)], "item_id long, text string")
     assert {r.doc_id: r["items"] for r in reports.contained(docs, items).collect()} == {1: 1, 2: 2, 4: 1}
     assert reports.contained(docs, items.limit(0)).count() == 0
+
+
+def test_empty_cells_of_the_inflation_matrix_are_zero(spark):
+    rows = spark.createDataFrame([("m", "email", 0.5), ("m", "email", None), ("n", "slack", None)], "model string, domain string, inflation double")
+    found = {r.model: (r.email, r.essay, r.slack, r.social, r.overall) for r in reports.inflation_matrix(rows).collect()}
+    assert found == {"m": (0.5, 0, 0, 0, 0.5), "n": (0, 0, 0, 0, 0)}
+
+
+def test_votes_without_address_share_one(spark):
+    rows = [(i, i, "v", "a", "b", "win", None) for i in range(4)]
+    log = spark.createDataFrame(rows, "seq long, t long, mode string, w string, l string, o string, iph string")
+    roster = spark.createDataFrame([("a",), ("b",)], "model string")
+    assert [r.used for r in votes.recomputed(log, roster, "v", 2).orderBy("seq").collect()] == [True, True, False, False]
+    assert votes.recomputed(log, roster, "v", 0).where("used").count() == 4
+
+
+def test_domain_scores_are_absolute_and_the_overall_one_is_relative(spark):
+    bench = spark.createDataFrame([("a", 30.0, 40.0, None, 120.0), ("b", 10.0, 40.0, 5.0, 0.0)], "model string, email double, essay double, slack double, social double")
+    none = spark.createDataFrame([], "domain string, model string, elo long")
+    found = {(r.model, r.domain): r.score for r in votes.domain_human_score(bench, none).collect()}
+    assert found["a", "email"] == pytest.approx(20 + 0.6 * 70) and found["b", "email"] == pytest.approx(20 + 0.6 * 90)
+    assert found["a", "essay"] == found["b", "essay"] and found["a", "social"] == pytest.approx(20)
+    axes = spark.createDataFrame([("a", 10.0, 1.0, 1.0, 1.0), ("b", 20.0, 1.0, 1.0, 1.0)], "model string, conciseness double, templating double, rhythm double, tells double")
+    scores = {r.model: r.score for r in votes.human_score(axes, spark.createDataFrame([("a", 1600)], "model string, elo long")).collect()}
+    assert scores == {"a": pytest.approx(20 + 15), "b": pytest.approx(20)}
+
+
+def test_repetition_of_the_gate_counts_single_texts(spark):
+    rows = [("m", "email", "email.1", "same words here now again", 9, 1), ("m", "email", "email.2", "same words here now again x", 9, 2), ("m", "email", "email.2", "other words here now again", 9, 3)]
+    df = spark.createDataFrame(rows, "model string, domain string, scenario string, text string, band_hi int, place int")
+    found = sorted(r.value for r in reports.gate_measures(df).where("metric = 'opener repetition'").collect())
+    assert found == [0.5, 1.0]
