@@ -311,9 +311,9 @@ _LOST = "(?:" + "|".join(f"(?:{p})" for p in cleaning.LOST_LINES) + ")"
 
 
 @query(
-    f"""{OUT.replace("WITH", "WITH RECURSIVE")}, b0 AS (SELECT doc_id AS path, list_filter(string_split_regex(text, '\n\s*\n+'), lambda x: regexp_matches(x, '\S')) AS bl FROM o),
+    f"""{OUT.replace("WITH", "WITH RECURSIVE")}, b0 AS (SELECT doc_id AS path, list_filter(string_split_regex(text, '\\n\\s*\\n+'), lambda x: regexp_matches(x, '\\S')) AS bl FROM o),
 b1 AS (SELECT path, unnest(bl) AS block, unnest(range(1, len(bl) + 1)) AS k FROM b0),
-b2 AS (SELECT path, k, block, {D.n_tokens('block')} AS w, string_split_regex({D.stripped('block')}, '\r\n|[\n\r\x0b\x0c]') AS ln FROM b1),
+b2 AS (SELECT path, k, block, {D.n_tokens('block')} AS w, string_split_regex({D.stripped('block')}, '\\r\\n|[\\n\\r\\x0b\\x0c]') AS ln FROM b1),
 b AS MATERIALIZED (SELECT path, k, block, w, CASE WHEN {_has(D.stripped('block'), cleaning.RESIDUAL_HEADER, '(?im)')} THEN 'noise'
   WHEN {_has(_FIRST_LINE, cleaning.GREETING)} OR len(ln) <= 2 AND {_has(_FIRST_LINE, cleaning.NAME_COMMA, '')} THEN 'greeting'
   WHEN len(ln) <= 2 AND ({_has(_FIRST_LINE, cleaning.SIGNOFF)} OR {_has(_FIRST_LINE, cleaning.BARE_NAME, '')}) THEN 'signoff' ELSE 'body' END AS kind FROM b2),
@@ -331,7 +331,7 @@ m AS (SELECT path, own, string_agg(block, chr(10) || chr(10) ORDER BY k) AS text
 l AS (SELECT path, own, string_split(text, chr(10)) AS ls FROM m),
 e AS (SELECT path, own, ls, coalesce(list_position(list_transform(ls, lambda x: {_has('x', cleaning.FORWARDED)}), true), 0) AS first FROM l),
 c AS (SELECT path, own, array_to_string(list_filter(CASE WHEN first > 0 THEN list_slice(ls, 1, first - 1) ELSE ls END, lambda x: NOT {_has('x', _LOST)}), chr(10)) AS text FROM e)
-SELECT path, CAST(own - 1 AS INT) AS position, {D.n_tokens(D.stripped("regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')"))} AS n_words FROM c"""
+SELECT path, CAST(own - 1 AS INT) AS position, {D.n_tokens(D.stripped("regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g')"))} AS n_words FROM c"""
 )
 def email_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Decorated texts as undelimited mail files, cut into messages and cleaned."""
