@@ -148,15 +148,21 @@ def folded(text: Column) -> Column:
 
 
 def _guarded(text: Column, patterns: dict[str, str], multiline: bool) -> dict[str, Column]:
-    out, low = {}, folded(text)
-    for name, pattern in patterns.items():
-        found = hits(text, pattern, multiline)
-        if needed := NEEDED.get(name):
-            # a plain search is far cheaper than a pattern that ignores case, and most texts have few of the phrases
-            may = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in needed])
-            found = F.when(text.isNull(), None).when(may, found).otherwise(F.lit(0).cast("bigint"))
-        out[name] = found
-    return out
+    """Hits of each pattern. Most texts have few of the phrases, and a plain search for their letters is far cheaper than a
+    pattern that ignores case; the folded text is made once for all patterns."""
+
+    def of(low: Column) -> Column:
+        counts = []
+        for name, pattern in patterns.items():
+            found = hits(text, pattern, multiline)
+            if needed := NEEDED.get(name):
+                may = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in needed])
+                found = F.when(text.isNull(), None).when(may, found).otherwise(F.lit(0).cast("bigint"))
+            counts.append(found.alias(name))
+        return F.struct(*counts)
+
+    found = once(folded(text), of)
+    return {name: found[name] for name in patterns}
 
 
 def tell_hits(text: Column) -> dict[str, Column]:
