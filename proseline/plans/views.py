@@ -46,8 +46,18 @@ VOTES_SQL = f"SELECT {_VOTE_COLUMNS}, CAST(floor((epoch_us(ts) - 170406720000000
 SCENARIOS = {d: [f"{d}.{i}" for i in range(3)] for d in ("email", "essay", "slack", "social")}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to as many tasks as run at once, where its files give fewer: reading texts costs far more than moving them.
+
+    Tables with more splits than that, as large ones have, stay as they are.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
