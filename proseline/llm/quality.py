@@ -1,8 +1,9 @@
 """Operator 3, quality rules: an isolation forest over rule statistics, its threshold calibrated on labelled rows.
 
 Each text gives counts in one pass. Rules on them reject what they can alone; the forest judges the rest: trees split
-random statistics at random points, and what is isolated by few splits is anomalous. Trees grow from labelled good
-rows, a bounded sample; the threshold on the path length is the one that best parts labelled good and bad rows.
+random statistics at random points, and what is isolated by few splits is anomalous. Each tree grows from rows of its own,
+as many as the method gives a tree, drawn from all labelled good rows; the threshold on the path length is the one that
+best parts all labelled good and bad rows.
 """
 
 from __future__ import annotations
@@ -13,16 +14,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proseline.llm.common import body, cut, slices
+from proseline.llm.common import FILE_ROWS, body, cut, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Labelled rows that are used at most, trees, rows a tree grows from, and the seed of all draws.
-LABELLED, TREES, SAMPLE, SEED = 20_000, 128, 256, 7
+#: Trees, rows a tree grows from, and the seed of all draws.
+TREES, SAMPLE, SEED = 128, 256, 7
 #: Share of labelled good rows that the calibrated threshold may reject at most.
 MOST_LOST = 0.002
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -107,7 +108,9 @@ class Forest:
         limit = max(1, math.ceil(math.log2(max(2, self.size)))) + 4
         margins = list(FEATURES.values())
         self.trees = []
-        for _ in range(trees):
+        # each tree has rows that no other has, if there are as many
+        order = draw.permutation(len(rows)) if len(rows) >= trees * self.size else None
+        for i in range(trees):
             nodes: list[list[float]] = []  # feature (-1: leaf), split, left, right, path length of a leaf
 
             def grow(own: np.ndarray, depth: int, nodes=nodes) -> int:
@@ -122,7 +125,8 @@ class Forest:
                     nodes[at][3] = grow(own[own[:, f] >= split], depth + 1)
                 return at
 
-            grow(rows[draw.choice(len(rows), self.size, replace=False)], 0)
+            own = draw.choice(len(rows), self.size, replace=False) if order is None else order[i * self.size : (i + 1) * self.size]
+            grow(rows[own], 0)
             a = np.array(nodes)
             self.trees.append((a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4]))
 
@@ -154,42 +158,75 @@ def calibrate(paths: np.ndarray, good: np.ndarray, most_lost: float = MOST_LOST)
     return float(cuts[best[0]])
 
 
-def judge(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
-    """doc_id, the counts, base_failed, path and kept of each row of docs.
+def calibrated(scored: DataFrame, n: int, most_lost: float = MOST_LOST) -> float:
+    """What calibrate gives for the rows of scored (path, good; n of them), however many there are.
 
-    labels has doc_id and quality (1 good, 0 bad); null qualities and labels of no document are ignored, and labels that
-    contradict each other count as bad. At most `labelled` labelled rows, in order of a hash, grow the forest and set
-    its threshold; without labels of both kinds only the rules decide. A null text has no words and fails. Repeated
-    rows get equal results; no rows give none.
+    Rows are counted by path; ranges of paths are cumulated each by itself, and what lies below a range is added.
     """
-    found = cut(rule_statistics(docs))
-    base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    found = found.withColumn("base_failed", base)
-    quality = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    usable = found.where("not base_failed").join(quality, "doc_id").select("doc_id", "quality", *FEATURES).distinct()
-    # rows below a bound on their hash are about as many as are asked for, so no task sends many more than its part
-    n, place = usable.count(), F.xxhash64("doc_id")
-    if n > labelled:
-        usable = usable.where(F.shiftrightunsigned(place, 32) < int((labelled + 4 * labelled**0.5) / n * (1 << 32)))
-    sample = usable.orderBy(place, "doc_id").limit(labelled).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    rows, good = sample[list(FEATURES)].to_numpy(float), sample["quality"].to_numpy() == 1
-    forest, threshold = None, -math.inf
-    if good.any() and not good.all():
-        forest = Forest(rows[good])
-        threshold = calibrate(forest.paths(rows), good)
+    scored = cut(scored, n)
+    ranges = -(-n // FILE_ROWS)
+    points = scored.agg(F.percentile_approx("path", [i / ranges for i in range(1, ranges)] or [0.5])).first()[0] or []
+    counted = scored.groupBy("path").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    ranged = counted.withColumn("_part", F.size(F.filter(F.lit(sorted(set(points))), lambda x: x <= F.col("path"))))
+    below, g, b, last = [], 0, 0, None
+    for r in ranged.groupBy("_part").agg(F.sum("g"), F.sum("b"), F.max("path")).orderBy("_part").collect():
+        below.append((r[0], g, b, last))
+        g, b, last = g + r[1], b + r[2], r[3]
+    if not g or not b:
+        return -math.inf
+    below = scored.sparkSession.createDataFrame(below, "_part int, _g long, _b long, _last double")
+    own = Window.partitionBy("_part").orderBy("path")
+    before = {x: F.col(f"_{x}") + F.sum(x).over(own) - F.col(x) for x in "gb"}
+    cuts = ranged.join(F.broadcast(below), "_part").select(
+        "path", F.coalesce(F.lag("path").over(own), "_last").alias("low"), (before["g"] / g).alias("lost"), (before["b"] / b).alias("caught")
+    )
+    best = cuts.where(F.col("lost") <= most_lost).agg(F.max(F.struct(F.col("caught") - F.col("lost"), -F.col("path"), "low"))).first()[0]
+    return -math.inf if best[2] is None else (best[2] - best[1]) / 2
+
 
-    names = ["doc_id", *STATISTICS, "base_failed"]
+def with_paths(found: DataFrame, forest: Forest | None, keep: list[str]) -> DataFrame:
+    """keep's columns and path, the mean path length in the forest (infinite without one), of each row of found."""
 
     def run(batches):
         for batch in batches:
             values = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in FEATURES])
             paths = forest.paths(values) if forest else np.full(len(values), math.inf)
-            failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(paths, pa.float64()), pa.array(~failed & (paths >= threshold), pa.bool_())],
-                names=[*names, "path", "kept"],
-            )
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(paths, pa.float64())], names=[*keep, "path"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    named = ", ".join(f"{x} bigint" for x in STATISTICS)
-    return found.mapInArrow(run, f"doc_id {kind}, {named}, base_failed boolean, path double, kept boolean")
+    kinds = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in keep)
+    return found.select(*keep, *FEATURES).mapInArrow(run, f"{kinds}, path double")
+
+
+def lowest(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """Of n rows, the `most` that a hash of them puts first."""
+    place = F.xxhash64(*rows.columns)
+    if n > most:
+        # rows below a bound on their hash are about as many as are asked for, so no task sends many more than its part
+        rows = rows.where(F.shiftrightunsigned(place, 32) < int((most + 4 * most**0.5) / n * (1 << 32)))
+    return rows.orderBy(place, *rows.columns).limit(most)
+
+
+def judge(docs: DataFrame, labels: DataFrame, labelled: int | None = None) -> DataFrame:
+    """doc_id, the counts, base_failed, path and kept of each row of docs.
+
+    labels has doc_id and quality (1 good, 0 bad); null qualities and labels of no document are ignored, and labels that
+    contradict each other count as bad. Trees draw their rows from all labelled good rows, and all labelled rows set the
+    threshold; a caller may bound them to `labelled` rows, in order of a hash. Without labels of both kinds only the rules
+    decide. A null text has no words and fails. Repeated rows get equal results; no rows give none.
+    """
+    found = rule_statistics(docs)
+    base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    found = cut(found.withColumn("base_failed", base))
+    quality = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    usable = found.where("not base_failed").join(quality, "doc_id").select("doc_id", (F.col("quality") == 1).alias("good"), *FEATURES).distinct()
+    if labelled is not None:
+        usable = lowest(usable, usable.count(), labelled)
+    tally = {r.good: r.n for r in usable.groupBy("good").agg(F.count("*").alias("n")).collect()}
+    forest, threshold = None, -math.inf
+    if len(tally) == 2:
+        usable = cut(usable, sum(tally.values()))
+        grown = lowest(usable.where("good"), tally[True], TREES * SAMPLE).toPandas()
+        forest = Forest(grown[list(FEATURES)].to_numpy(float))
+        threshold = calibrated(with_paths(usable, forest, ["good"]), sum(tally.values()))
+    judged = with_paths(found, forest, ["doc_id", *STATISTICS, "base_failed"])
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("path") >= threshold))

@@ -72,6 +72,31 @@ def test_the_sample_of_labelled_rows_is_bounded_and_seeded(spark):
     assert len(kept & {i for i in range(400) if i % 5}) >= 0.95 * 320 and not kept & set(range(0, 400, 5))
 
 
+def test_all_labelled_rows_set_the_threshold(spark):
+    # more labelled rows than one bounded sample had; the threshold is told again from all of them
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(draw.choices(words, k=draw.randrange(24, 60))) + " ###" * int(draw.expovariate(1 if i % 10 else 0.2))) for i in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(24_000)], "doc_id long, quality int")
+    found = quality.judge(docs, labels).toPandas()
+    free = ~found["base_failed"].to_numpy()
+    paths, good = found["path"].to_numpy()[free], found["doc_id"].to_numpy()[free] % 10 > 0
+    threshold = quality.calibrate(paths, good)
+    assert free.sum() > 20_000 and np.isfinite(threshold)
+    assert np.array_equal(found["kept"].to_numpy()[free], paths >= threshold)
+
+
+def test_ranges_of_paths_give_the_threshold_of_all_paths(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FILE_ROWS", 100)
+    draw = np.random.default_rng(9)
+    for most_lost, decimals in ((0.002, 9), (0.05, 2), (1.0, 1)):
+        good = draw.random(2000) < 0.8
+        paths = np.round(draw.normal(size=2000) + good, decimals)
+        scored = spark.createDataFrame(list(zip(paths.tolist(), good.tolist(), strict=True)), "path double, good boolean")
+        assert quality.calibrated(scored, 2000, most_lost) == quality.calibrate(paths, good, most_lost)
+
+
 def test_difference_hash_compares_neighbours():
     pixels = np.random.default_rng(2).integers(0, 256, (40, 45)).astype(np.uint8)
     means = [[int(pixels[5 * i : 5 * i + 5, 5 * j : 5 * j + 5].astype(int).sum() // 25) for j in range(9)] for i in range(8)]
