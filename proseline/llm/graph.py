@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from proseline.llm.common import cut
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(a, b) long -> (node, root): every node that has an edge, with the smallest node it can reach.
 
     Each round replaces the edges by stars that lean towards smaller nodes; the rounds end when nothing changes, after
     a number of rounds that grows with the logarithm of the longest path. Minima are pre-aggregated before each shuffle
     and joined back, so that a node with very many edges is never gathered in one place. Loops, repeated and reversed
-    edges and nulls are harmless; no edges give no rows.
+    edges and nulls are harmless; no edges give no rows. rows, if given, is about how many edges there are: it sets how
+    many files the first round's become.
     """
     star = cut(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
+        .distinct(),
+        rows,
     )
     before = None
     while True:

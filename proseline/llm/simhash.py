@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proseline.llm.common import body, cut, guarded, slices, split_join
+from proseline.llm.common import body, cut, files, guarded, slices, split_join
 from proseline.llm.graph import components
 from proseline.llm.words import Hashes, Powers, hashed, windows
 
@@ -126,9 +126,11 @@ def links(prints: DataFrame, width: int = 2) -> DataFrame:
     ).select("a", "b")
 
 
-def classes(prints: DataFrame, first: Column) -> DataFrame:
-    """prints (fp and other columns) -> fp, n and first (an aggregate), a row for each fp, so that copies cost a row in joins."""
-    return cut(prints.groupBy("fp").agg(F.count("*").alias("n"), first.alias("first")))
+def classes(prints: DataFrame, first: Column, rows: int) -> DataFrame:
+    """prints (fp and other columns; so many rows) -> fp, n and first (an aggregate), a row for each fp, so that copies cost a
+    row in joins.
+    """
+    return cut(prints.groupBy("fp").agg(F.count("*").alias("n"), first.alias("first")), rows)
 
 
 def class_links(found: DataFrame) -> tuple[DataFrame, int]:
@@ -137,9 +139,9 @@ def class_links(found: DataFrame) -> tuple[DataFrame, int]:
     return links(found.select("fp"), 2 if n <= WIDE else 1), n
 
 
-def rooted(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """found with root: the same for all classes that edges lead to, and the fp itself where none does."""
-    member = components(edges).select(F.col("node").alias("fp"), "root")
+def rooted(found: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """found (n rows) with root: the same for all classes that edges lead to, and the fp itself where none does."""
+    member = components(edges, 4 * n).select(F.col("node").alias("fp"), "root")
     return found.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
@@ -151,15 +153,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     Null and empty texts have fingerprint zero, and link like any other. Repeated rows give repeated results, a null
     doc_id is never a component_id unless its component has no other. No rows give none; other columns are ignored.
     """
-    prints = cut(fingerprints(docs, shingle))
-    found = classes(prints, F.min("doc_id"))
+    rows = docs.count()
+    prints = cut(fingerprints(docs, shingle), rows, dealt=True)
+    found = classes(prints, F.min("doc_id"), rows)
     edges, n = class_links(found)
-    joined = cut(rooted(found, edges), n)
+    joined = cut(rooted(found, edges, n), n)
     reach = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.join(reach, "root").select("fp", "component_id")
-    return split_join(prints, named, ["fp"], found).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    named = split_join(prints, named, ["fp"], found).coalesce(files(rows))
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def met(cells: DataFrame, order: Column, rows: int | None = None) -> DataFrame:
@@ -186,7 +188,7 @@ def merged(roots: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     over = edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a").join(
         roots.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b"
     )
-    up = components(over.select(F.col("_ra").alias("a"), F.col("_rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("_up"))
+    up = components(over.select(F.col("_ra").alias("a"), F.col("_rb").alias("b")), n).select(F.col("node").alias("root"), F.col("root").alias("_up"))
     return cut(roots.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root")), n)
 
 
@@ -274,10 +276,13 @@ def keep_first(docs: DataFrame, shingle: int = 3, similar: float | None = 0.8, s
     """
     docs, names = guarded(docs)
     docs = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    prints = cut(fingerprints(docs.where("doc_id is not null"), shingle, ("doc_id", "_t"), bands if similar is not None else 0, similar_shingle))
-    found = classes(prints, F.min(F.struct("doc_id", "_t", "fp")))
+    known = docs.where("doc_id is not null")
+    rows = known.count()
+    prints = fingerprints(known, shingle, ("doc_id", "_t"), bands if similar is not None else 0, similar_shingle)
+    prints = cut(prints, rows, dealt=True)
+    found = classes(prints, F.min(F.struct("doc_id", "_t", "fp")), rows)
     edges, n = class_links(found)
-    joined = cut(rooted(found, edges), n)
+    joined = cut(rooted(found, edges, n), n)
     if similar is not None:
         own = found.select(F.col("fp").alias("node"), "first.doc_id", "first._t")
         nodes = cut(own.join(prints.select("doc_id", "_t", "bands"), ["doc_id", "_t"]).dropDuplicates(["doc_id", "_t"]), n)

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,17 @@ def test_segment_width_changes_no_link(spark, width):
     found = {frozenset((r.a, r.b)) for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), width).collect()}
     mask = (1 << 64) - 1
     assert found == {frozenset((a, b)) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 3}
+
+
+def written(spark):
+    """Files of rows in the checkpoint folder."""
+    return sum(x.name.startswith("part-") for x in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("*"))
+
+
+@pytest.mark.parametrize("query", [simhash.near_duplicates, lambda docs: simhash.keep_first(docs, similar=None)])
+def test_few_rows_of_many_tasks_become_few_files(spark, query):
+    draw, say = sayer(31)
+    docs = spark.createDataFrame([(i, " ".join(say(30))) for i in range(60)], "doc_id long, text string").repartition(40)
+    before = written(spark)
+    found = query(docs)
+    assert written(spark) - before < 20 and found.count() == 60
