@@ -98,9 +98,12 @@ class Encoder:
     def learn(self, chunks: set[str]) -> None:
         """Remember the ids of all chunks but very long ones. Letters, then marks: the pre-tokeniser parts these."""
         known = self.known
-        if len(known) + len(chunks) > REMEMBERED:
-            known.clear()
         new = chunks.difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            # what these texts have in common with earlier ones is kept
+            kept = {x: known[x] for x in chunks.difference(new)}
+            known.clear()
+            known.update(kept)
         plain = {x for x in new if x.isalpha() and len(x) <= LONGEST}
         rest = [x for x in new.difference(plain) if len(x) <= LONGEST]
         stems = [x.rstrip(MARKS) for x in rest]

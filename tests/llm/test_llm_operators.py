@@ -206,6 +206,20 @@ def check_packing(found, lengths):
     return len(by)
 
 
+def test_the_encoder_learns_a_word_it_remembers_once(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    encoder, learned = packing.Encoder(packing.default_vocabulary()), []
+    letters = encoder.letters
+    monkeypatch.setattr(encoder, "letters", lambda word: learned.append(word) or letters(word))
+    first = {f"word{x}" for x in "abcdefgh"}
+    encoder.learn(first)
+    encoder.learn(first | {"next"})
+    assert sorted(learned) == sorted(first | {"next"})
+    encoder.learn({"worda", "wordb", "one", "two", "three"})
+    assert sorted(learned[9:]) == ["one", "three", "two"] and len(encoder.known) == 5
+    assert encoder.many(["x worda one longer text, worda"]) == [encoder.ids("x worda one longer text, worda")]
+
+
 def test_packing(spark):
     texts = [*cases(), "  two  spaces ", "tab\tand\nline \n end", "don't  stop'll", "é ü x   y", "a" * 300 + " b", "<|endoftext|> x"]
     from tokenizers import Tokenizer
