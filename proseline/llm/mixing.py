@@ -118,7 +118,7 @@ def mix(
     seeded order, so repeated rows get the same set of values in any run. No rows give none; other columns are ignored.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
-    sized = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("_key")))
+    sized = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("_key")), docs.count(), dealt=True)
     rows = sized.groupBy("source").agg(F.count("*").alias("_rows"))
     known = rows.select(F.col("source").alias("_source"), F.ceil(F.col("_rows") / SHARD).alias("_shards"))
     spread = F.conv(F.substring(F.md5(F.concat("_key", F.col("size").cast("string"))), 1, 8), 16, 10).cast("bigint")

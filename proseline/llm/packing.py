@@ -269,4 +269,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     """
     found = pieces(docs, vocabulary, capacity, with_ids).withColumn("_at", F.monotonically_increasing_id())
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset"]
-    return place(cut(found), capacity).select(*columns)
+    # about: a document's last piece, and others of four bytes a token; rows with ids are long and stay where they are
+    asked = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(body())).alias("size")).first()
+    rows = None if with_ids else asked.n + (asked.size or 0) // (4 * capacity)
+    return place(cut(found, rows, dealt=True), capacity).select(*columns)

@@ -217,13 +217,14 @@ def joined_by_similarity(docs: DataFrame, nodes: DataFrame, roots: DataFrame, n:
     roots = merged(roots, second.where("similar").select("a", "b"), n)
     done = first.unionByName(second)
     failed = done.where("not similar and n > 2").select("b").distinct()
-    again = pairs.join(failed, "b", "left_semi").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    again = cut(pairs.join(failed, "b", "left_semi").select(F.explode(F.array("a", "b")).alias("node")).distinct(), n)
+    cells = again.count() * BANDS * (BANDS - 1) // 2
     two = F.flatten(F.transform(F.sequence(F.lit(0), F.size(seeds) - 2), lambda i: F.transform(
         F.sequence(i + 1, F.size(seeds) - 1), lambda j: F.xxhash64(i, j, F.get(seeds, i), F.get(seeds, j)))))
     double = nodes.where(F.size(seeds) > 1).join(again, "node", "left_semi").join(roots, "node").select("node", "root", F.explode(two).alias("cell"))
     double = double.groupBy("cell", "root").agg(F.min_by("node", F.xxhash64("cell", "node")).alias("node")).select("cell", "node")
-    more = met(double, F.xxhash64("cell", "node")).join(done.select("a", "b"), ["a", "b"], "left_anti")
-    return merged(roots, verified(more, sets, least, n * BANDS * BANDS // 2).where("similar").select("a", "b"), n)
+    more = met(double, F.xxhash64("cell", "node"), cells // 2).join(done.select("a", "b"), ["a", "b"], "left_anti")
+    return merged(roots, verified(more, sets, least, cells).where("similar").select("a", "b"), n)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:

@@ -118,9 +118,10 @@ def extensions(found: DataFrame, least: int, later_only: bool = False) -> DataFr
     A window is compared as a whole with all documents' windows, by its hash, so neither other copies in its own
     document nor documents that share only one of its ends decide it. Counts are combined before the shuffle.
     """
+    n = found.agg(F.sum(F.size("hashes"))).first()[0] or 0
     each = found.select("doc_id", F.explode("hashes").alias("window"))
     shared = each.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
-    shared = cut(shared.where("lo < hi"))
+    shared = cut(shared.where("lo < hi"), n // 2)
     own = found.where("run is not null").select("doc_id", "run", "start", F.posexplode("hashes").alias("at", "window"))
     own = split_join(own, shared.select("window", "lo"), ["window"], shared)
     own = own.where("lo < doc_id" if later_only else "true").withColumn("from", F.col("start") + F.col("at"))
@@ -136,12 +137,15 @@ def repeated(docs: DataFrame, least: int = LEAST, span: int = SPAN, later_only:
     no spans; no rows give none; other columns are ignored.
     """
     size = least - span + 1
+    letters = docs.where("doc_id is not null").agg(F.sum(F.octet_length(body()))).first()[0] or 0
     found = suffixes(docs, least, span)
     shared = found.groupBy("key").agg(
         F.min("doc_id").alias("lo"), F.min_by("pos", "doc_id").alias("lo_pos"),
         F.max("doc_id").alias("hi"), F.max_by("pos", "doc_id").alias("hi_pos"), F.count("*").alias("n"),
     )
-    shared = cut(shared.where("lo < hi"))
+    # about: words of six bytes, two of them kept in span + 1, and a shared key has two suffixes at least
+    shared = cut(shared.where("lo < hi"), letters // (6 * (span + 1)))
+    n = shared.agg(F.sum("n")).first()[0] or 0
     marks = split_join(found, shared, ["key"], shared)
     later = F.col("doc_id") > F.col("lo")
     marks = marks.select(
@@ -158,13 +162,14 @@ def repeated(docs: DataFrame, least: int = LEAST, span: int = SPAN, later_only:
         return F.coalesce(near & (step("partner").over(line) == F.col("partner")) & (step("shift").over(line) == F.col("shift")), F.lit(False))
 
     marks = marks.withColumns({"first": F.col("counted") & ~goes_on(F.lag), "last": F.col("counted") & ~goes_on(F.lead)})
-    marks = cut(marks.withColumn("run", F.sum(F.col("first").cast("bigint")).over(line)).drop("partner", "shift"))
+    marks = cut(marks.withColumn("run", F.sum(F.col("first").cast("bigint")).over(line)).drop("partner", "shift"), n)
     # a document that shares only the words from a run's end on may have another suffix there, within span places of it
     of = Window.partitionBy("doc_id", "counted", "run")
     beside = (F.col("pos") - F.min("pos").over(of) < span) | (F.max("pos").over(of) - F.col("pos") < span)
     asked = marks.where("counted").withColumn("beside", beside).where("beside").groupBy("key").agg(F.first("n").alias("n"))
     wanted = split_join(marks.drop("n"), asked.select("key"), ["key"], asked).select("doc_id", "pos", (F.col("first") | F.col("last")).alias("edge"), "run")
-    more = extensions(cut(passages(docs, wanted, least, span)), least, later_only)
+    # its rows have some span hashes, as much as four other rows
+    more = extensions(cut(passages(docs, wanted, least, span), 4 * n), least, later_only)
     runs = marks.where("counted").groupBy("doc_id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + size).alias("end"))
     # a run shorter than a passage counts as far as its windows do
     long = F.col("end") - F.col("start") >= least
