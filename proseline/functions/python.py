@@ -6,6 +6,7 @@ import base64
 import hashlib
 import hmac
 import html
+import html.entities
 import re
 
 import numpy as np
@@ -61,6 +62,19 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def decoded_closed(text: str) -> str:
+    """Character references with their semicolon decoded; any other ampersand stays, a cut reference's too."""
+    return _CLOSED.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0], text)
+
+
+@F.pandas_udf(StringType())
+def unescape_closed(text: pd.Series) -> pd.Series:
+    return text.map(decoded_closed, na_action="ignore")
+
+
 def address_hash(salt: str):
     """A column function: what stands for an address in the log, 22 characters of its keyed SHA-256; null stays null."""
 

@@ -93,6 +93,13 @@ def test_character_references_are_decoded(spark):
     assert found == [html.unescape(texts[0]), "€…Ÿ \x81", None]
 
 
+def test_references_cut_before_their_semicolon_stay(spark):
+    texts = ["<title>les&amp;&amp</title>", "&amp;quot; &ampcopy; &#8217;&#x41; &lt;&nosuch; &copy", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = [r[0] for r in df.select(cleaning.clean_essay(F.col("text"), closed=True)).collect()]
+    assert found == ["<title>les&&amp</title>", "&quot; &ampcopy; ’A <&nosuch; &copy", None]
+
+
 def test_turns(spark):
     t = datetime(2024, 1, 1)
     rows = [("c", t, 1, "a", "one two"), ("c", t + timedelta(minutes=5), 2, "a", "three"), ("c", t + timedelta(minutes=16), 3, "a", "late"), ("c", t + timedelta(minutes=17), 4, "b", "x")]
