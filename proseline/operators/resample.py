@@ -3,47 +3,76 @@
 from __future__ import annotations
 
 import random
-from array import array
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from proseline.operators import scoring
-from proseline.operators.folds import fold
 
+#: Draws that are looked up at a time.
+PART = 1 << 16
 
-def interval_of_mean(values: Sequence[float], draws: int = 2000, seed: int = 7) -> tuple[float | None, float | None, float | None]:
-    """Mean and 95 % bootstrap interval of values in their order; Nones for fewer than two."""
-    if len(values) < 2:
-        return None, None, None
-    draw, n = random.Random(seed), len(values)
-    means = sorted(sum(draw.choices(values, k=n)) / n for _ in range(draws))
-    return sum(values) / n, means[int(0.025 * draws)], means[int(0.975 * draws)]
 
+def interval_of_mean(values: Sequence[float], draws: int = 2000, seed: int = 7) -> tuple[float | None, float | None, float | None]:
+    """Mean and 95 % bootstrap interval of values in their order; Nones for fewer than two.
 
-class Mean:
-    """A group's values as they come, and at the end their mean and its interval."""
-
-    def __init__(self, key: object, draws: int):
-        self.key, self.draws, self.values = key, draws, array("d")
+    The draws are those of random.Random(seed).choices: NumPy's Mersenne twister goes on from its state. Sums are made in
+    longer floats, so that their order doesn't show.
+    """
+    n = len(values)
+    if n < 2:
+        return None, None, None
+    _, state, _ = random.Random(seed).getstate()
+    draw = np.random.RandomState()
+    draw.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+    own = np.asarray(values, np.longdouble)
 
-    def add(self, row: tuple) -> tuple:
-        self.values.append(row[0])
-        return ()
+    def total() -> np.longdouble:
+        return sum(own[(draw.random_sample(min(PART, n - at)) * n).astype(np.int64)].sum() for at in range(0, n, PART))
 
-    def end(self) -> list[tuple]:
-        return [(self.key, *interval_of_mean(self.values, self.draws))]
+    means = sorted(float(total()) / n for _ in range(draws))
+    return float(own.sum()) / n, means[int(0.025 * draws)], means[int(0.975 * draws)]
 
 
 def intervals(df: DataFrame, group: str, value: str, order: list[str], draws: int = 2000) -> DataFrame:
-    """group, mean, lo, hi. A group's values are resampled together in their order: what a task holds is one group's numbers."""
+    """group, mean, lo, hi. A group's values are resampled together in their order: what a task holds is one group's numbers.
+
+    Few short rows can be much work here, so the number of tasks is given, and isn't made less by the rows' size.
+    """
     kind = df.schema[group].dataType.simpleString()
-    rows = df.where(F.col(value).isNotNull()).withColumn("_value", F.col(value).cast("double"))
     out = StructType.fromDDL(f"{group} {kind}, mean double, lo double, hi double")
-    return fold(rows, group, [c for c in order if c != group], ["_value"], lambda k: Mean(k, draws), out)
+    schema = to_arrow_schema(out)
+
+    def run(batches):
+        held, parts = None, []
+
+        def packed() -> pa.RecordBatch:
+            cells = [held[0], *interval_of_mean(np.concatenate(parts), draws)]
+            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(cells, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            keys, numbers = pc.run_end_encode(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            start = 0
+            for key, end in zip(keys.values.to_pylist(), keys.run_ends.to_pylist(), strict=True):
+                if held != (key,):
+                    if held is not None:
+                        yield packed()
+                    held, parts = (key,), []
+                parts.append(numbers[start:end].copy())
+                start = end
+        if held is not None:
+            yield packed()
+
+    rows = df.where(F.col(value).isNotNull()).select(group, *[c for c in order if c != group], F.col(value).cast("double").alias("_value"))
+    dealt = rows.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, group)
+    return dealt.sortWithinPartitions(group, *[c for c in order if c != group]).select(group, "_value").mapInArrow(run, out)
 
 
 def separation(found: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -252,6 +252,27 @@ def test_samples_are_seeded(spark):
     assert resample.sample_exact(df, 6000, "position").count() == 5000
 
 
+def test_interval_draws_are_those_of_python_and_fast():
+    import time
+
+    draw = random.Random(3)
+    for n in (2, 7, 1000):
+        values = [draw.random() * 9 for _ in range(n)]
+        own = random.Random(7)
+        means = sorted(sum(own.choices(values, k=n)) / n for _ in range(200))
+        assert resample.interval_of_mean(values, 200) == (sum(values) / n, means[5], means[195])
+    assert resample.interval_of_mean([0.1] * 777, 50) == (0.1, 0.1, 0.1)
+    start = time.process_time()
+    resample.interval_of_mean([draw.random() for _ in range(200_000)], 50)
+    assert time.process_time() - start < 2  # 4 and more with a Python object a draw
+
+
+def test_interval_groups_arent_put_into_few_tasks(spark):
+    df = spark.createDataFrame([(f"m{i % 9}", i, float(i)) for i in range(90)], "model string, place int, value double")
+    found = resample.intervals(df, "model", "value", ["place"], 10)
+    assert found.rdd.getNumPartitions() >= 8 and found.count() == 9
+
+
 def test_intervals_of_means(spark):
     draw = random.Random(1)
     rows = [("a" if i % 3 else "b", i, draw.random()) for i in range(60)] + [("c", 99, 0.5), ("d", 100, None)]
