@@ -34,3 +34,11 @@ def test_stream_equals_batch(spark):
 def test_queries_without_oracle_run(spark, name):
     """Their operators are compared with plain Python in the other tests."""
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_tables_of_texts_set_small_arrow_batches(spark):
+    from proseline.plans import views
+
+    spark.conf.unset(views.BATCH)
+    views.table(spark, SF, "documents")
+    assert spark.conf.get(views.BATCH) == str(views.BATCH_ROWS)

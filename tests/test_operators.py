@@ -93,6 +93,13 @@ def test_character_references_are_decoded(spark):
     assert found == [html.unescape(texts[0]), "€…Ÿ \x81", None]
 
 
+def test_python_decodes_only_texts_with_an_ampersand(spark):
+    df = spark.createDataFrame([("a  b",), ("a &amp; b",), (None,)], "text string")
+    assert [r[0] for r in df.select(cleaning.clean_post(F.col("text"))).collect()] == ["a b", "a & b", None]
+    plan = df.select(cleaning.clean_post(F.col("text")))._jdf.queryExecution().toString()
+    assert "unescape(CASE WHEN" in plan
+
+
 def test_references_cut_before_their_semicolon_stay(spark):
     texts = ["<title>les&amp;&amp</title>", "&amp;quot; &ampcopy; &#8217;&#x41; &lt;&nosuch; &copy", None]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
