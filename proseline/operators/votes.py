@@ -8,8 +8,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from proseline.functions import text as T
@@ -20,6 +25,8 @@ GAP_MS, DAILY_PAIR, DAILY_ADDRESS = 1500, 400, 800
 LEAST_DWELL_MS = 1200
 MOST_PAIR_AGE_MS = 30 * 60 * 1000
 FLOOD_CAP = 50
+#: Votes that are packed into one row for a board's fold, some bytes each.
+PACK = 4096
 
 
 def gate(votes: DataFrame, roster: DataFrame, tokens: bool = False) -> DataFrame:
@@ -150,14 +157,73 @@ def rate(pairs) -> tuple[dict, dict]:
     return state.elo, state.games
 
 
+class PackedRatings(Ratings):
+    """Ratings after packs of votes, as `packed` makes them."""
+
+    def add(self, row: tuple) -> tuple:
+        names, *sides, ties = row
+        kind = np.uint8 if len(names) <= 256 else np.uint32
+        w, l = (np.frombuffer(x, kind) for x in sides)  # noqa: E741
+        ratings, expect = [self.elo.get(n, START) for n in names], {}
+        for i, j, tie in zip(w.tolist(), l.tolist(), ties, strict=True):
+            a, b = ratings[i], ratings[j]
+            expected = expect.get(b - a)
+            if expected is None:
+                expected = expect[b - a] = 1 / (1 + 10 ** ((b - a) / 400))
+            won = 0.5 if tie else 1.0
+            ratings[i], ratings[j] = _rounded(a + STEP * (won - expected)), _rounded(b + STEP * ((1 - won) - (1 - expected)))
+        played = np.bincount(w, minlength=len(names)) + np.bincount(l[w != l], minlength=len(names))
+        for name, rating, n in zip(names, ratings, played.tolist(), strict=True):
+            self.elo[name], self.games[name] = rating, self.games.get(name, 0) + n
+        return ()
+
+
+def packed(votes: DataFrame, board: str) -> DataFrame:
+    """Each board's votes in order of (t, seq), PACK or fewer in a row, sorted by range in many tasks.
+
+    A row has board, t and seq of its first vote, part and number (its place among rows that begin alike), names of its
+    models, and bytes: w and l (places in names, a byte each up to 256 names, else four) and ties.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in votes.schema}
+    out = f"_board {kinds[board]}, t {kinds['t']}, seq {kinds['seq']}, part int, number int, names array<string>, w binary, l binary, ties binary"
+    schema = to_arrow_schema(StructType.fromDDL(out))
+
+    def row(table: pa.Table, number: int) -> pa.RecordBatch:
+        both = pa.chunked_array([*table.column(3).chunks, *table.column(4).chunks]).combine_chunks().dictionary_encode("encode")
+        codes = both.indices.to_numpy(zero_copy_only=False).astype(np.uint8 if len(both.dictionary) <= 256 else np.uint32)
+        ties = pc.fill_null(pc.equal(table.column(5), "both"), False).to_numpy().astype(np.uint8)
+        n = table.num_rows
+        cells = [*(table.column(i)[0].as_py() for i in range(3)), TaskContext.get().partitionId(), number, both.dictionary.to_pylist()]
+        cells += [codes[:n].tobytes(), codes[n:].tobytes(), ties.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(cells, schema, strict=True)], schema=schema)
+
+    def run(batches):
+        held, size, number, current = [], 0, 0, None
+        for batch in batches:
+            ends = pc.run_end_encode(batch.column(0))
+            start = 0
+            for key, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist(), strict=True):
+                while start < end:
+                    if held and (size == PACK or current != (key,)):
+                        yield row(pa.Table.from_batches(held), number)
+                        held, size, number = [], 0, number + 1
+                    part = batch.slice(start, min(end - start, PACK - size))
+                    held, size, current, start = [*held, part], size + part.num_rows, (key,), start + part.num_rows
+        if held:
+            yield row(pa.Table.from_batches(held), number)
+
+    rows = votes.select(F.col(board).alias("_board"), "t", "seq", "w", "l", "o")
+    return rows.repartitionByRange("_board", "t", "seq").sortWithinPartitions("_board", "t", "seq").mapInArrow(run, out)
+
+
 def elo(votes: DataFrame, board: str = "mode") -> DataFrame:
     """board, model, elo and games: a fold over each board's log in order of (t, seq).
 
-    Ratings depend on the order of all votes of a board, so a board's votes pass through one task, three short columns
-    each, sorted on disk where need be; what the task holds is a number or two a model. Boards go side by side.
+    Ratings depend on the order of all votes of a board, so a board's votes pass through one task. They are sorted in many
+    tasks before and come to it packed, some bytes a vote; what it holds is a number or two a model. Boards go side by side.
     """
     out = StructType.fromDDL(f"{board} {votes.schema[board].dataType.simpleString()}, model string, elo bigint, games bigint")
-    return fold(votes, board, ["t", "seq"], ["w", "l", "o"], Ratings, out)
+    return fold(packed(votes, board), "_board", ["t", "seq", "part", "number"], ["names", "w", "l", "ties"], PackedRatings, out)
 
 
 def recomputed(votes: DataFrame, roster: DataFrame, mode: str, cap: int = FLOOD_CAP) -> DataFrame:

@@ -259,6 +259,20 @@ def test_samples_are_seeded(spark):
     assert resample.sample_exact(df, 6000, "position").count() == 5000
 
 
+def test_packed_votes_rate_as_votes_one_by_one(spark):
+    draw = random.Random(5)
+    rows = [(f"b{i % 3}" if i % 50 else None, draw.randrange(40), i, f"m{draw.randrange(300)}", f"m{draw.randrange(300)}", draw.choice(["win", "both", None])) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "mode string, t long, seq long, w string, l string, o string")
+    want = set()
+    for board in {r[0] for r in rows}:
+        elo, games = votes.rate([r[3:] for r in sorted((r for r in rows if r[0] == board), key=lambda r: r[1:3])])
+        want |= {(board, m, x, games[m]) for m, x in elo.items()}
+    assert {tuple(r) for r in votes.elo(df).collect()} == want
+    packs = votes.packed(df, "mode")
+    # what the one task of a board sorts is a row for thousands of votes, not one for each
+    assert packs.count() < 40 and packs.where(f"length(ties) > {votes.PACK}").count() == 0
+
+
 def test_interval_draws_are_those_of_python_and_fast():
     import time
 
