@@ -42,3 +42,11 @@ def test_tables_of_texts_set_small_arrow_batches(spark):
     spark.conf.unset(views.BATCH)
     views.table(spark, SF, "documents")
     assert spark.conf.get(views.BATCH) == str(views.BATCH_ROWS)
+
+
+def test_reports_measure_texts_once(spark):
+    plan = lambda name: catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    found = plan("sensitivity_trials")
+    assert "n_chars" not in found and "InMemoryRelation" not in found
+    # bands look at the lengths of people's texts; all else is there already
+    assert plan("synthesis").count("n_chars") == 1
