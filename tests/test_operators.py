@@ -273,6 +273,14 @@ def test_packed_votes_rate_as_votes_one_by_one(spark):
     assert packs.count() < 40 and packs.where(f"length(ties) > {votes.PACK}").count() == 0
 
 
+def test_least_hashes_of_many_sets_at_once():
+    draw = random.Random(2)
+    found = [dedup.hashed([str(draw.random()) for _ in range(n)]) for n in (1, 7, 300, 1, 2)]
+    own = dedup.coefficients()
+    want = [[min((a * int(x) + b) % dedup.PRIME % dedup.PRIME for x in h) for a, b in own] for h in found]
+    assert dedup.least_hashes(found, own).tolist() == want
+
+
 def test_interval_draws_are_those_of_python_and_fast():
     import time
 
